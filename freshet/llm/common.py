@@ -40,13 +40,21 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets the cleaner drop the shuffle files of this write now
     return spark.read.schema(df.schema).parquet(path)
 
 
+def blanked(text: Column, blanks: str = BLANKS) -> Column:
+    """The text with each of ``blanks`` as a space; null as the empty text."""
+    out = F.coalesce(text, F.lit(""))
+    for c in blanks:
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return out
+
+
 def words(text: Column) -> Column:
     """Runs of anything but ASCII white space, in order; null text has none."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), BLANKS, " " * len(BLANKS))
-    return F.filter(F.split(spaced, " "), lambda w: w != "")
+    return F.array_remove(F.split(blanked(text), " "), "")
 
 
 def fold(key: Column) -> Column:

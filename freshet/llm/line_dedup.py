@@ -25,14 +25,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from freshet.llm.common import scratch, words
+from freshet.llm.common import BLANKS, blanked, scratch
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(doc, id, at, w, n): every line of ``min_words`` words, by row signature, id and line number from 0."""
+    """(doc, id, at, line, n): every line of ``min_words`` words, its words joined by single spaces, by row signature, id and line number from 0."""
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    each = rows.select(signature(F.col("id"), F.col("text")).alias("doc"), "id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return each.select("doc", "id", "at", words(F.col("line")).alias("w")).withColumn("n", F.size("w")).where(F.col("n") >= min_words)
+    parts = F.split(blanked(F.col("text"), BLANKS.replace("\n", "")), "\n")
+    each = rows.select(signature(F.col("id"), F.col("text")).alias("doc"), "id", F.posexplode(parts).alias("at", "raw"))
+    each = each.withColumn("line", F.trim("raw")).drop("raw")
+    each = each.withColumn("line", F.when(F.contains("line", F.lit("  ")), F.regexp_replace("line", " +", " ")).otherwise(F.col("line")))
+    return each.withColumn("n", F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= min_words)
 
 
 def signature(doc_id: Column, text: Column) -> Column:
@@ -40,22 +43,33 @@ def signature(doc_id: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), text)))
 
 
-def line_key(w: Column) -> Column:
-    return F.unhex(F.md5(F.array_join(w, " ")))
-
-
-def half_keys(w: Column, n: Column) -> Column:
+def half_keys(line: Column, n: Column) -> Column:
     """Hashes of halves such that lines within one edit share at least one.
 
     With n words: prefixes of n//2 and (n-1)//2, suffixes of n-(n//2),
     n-((n-1)//2) and n+1-(n//2) words.
     """
     half, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    head = lambda size: F.xxhash64(F.lit("head"), F.array_join(F.slice(w, 1, size), " "))
-    tail = lambda size: F.xxhash64(F.lit("tail"), F.array_join(F.slice(w, n - size + 1, size), " "))
+    head = lambda size: F.xxhash64(F.lit("head"), F.substring_index(line, " ", size))
+    tail = lambda size: F.xxhash64(F.lit("tail"), F.substring_index(line, " ", -size))
     return F.array_distinct(F.array(head(half), head(less), tail(n - half), tail(n - less), tail(n + 1 - half)))
 
 
+def variants(lined: DataFrame) -> DataFrame:
+    """(lid, first, key, at): of each line (lid, first, line) the whole (at 0) and each variant without one word."""
+    each = lined.withColumn("w", F.split("line", " ")).select("lid", "first", F.size("w").alias("n"), F.posexplode("w").alias("i", "word")).withColumn("i", F.col("i") + 1)
+    each = each.withColumn("here", F.xxhash64("word", "i")).withColumn("moved", F.xxhash64("word", F.col("i") - 1)).drop("word")
+    line, upto = Window.partitionBy("lid"), Window.partitionBy("lid").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("whole", F.bit_xor("here").over(line)).withColumn("moved_all", F.bit_xor("moved").over(line))
+    each = each.withColumn("here_to", F.bit_xor("here").over(upto)).withColumn("moved_to", F.bit_xor("moved").over(upto))
+    before = F.col("here_to").bitwiseXOR(F.col("here"))
+    after = F.col("moved_all").bitwiseXOR(F.col("moved_to"))
+    own = F.struct(F.xxhash64(before.bitwiseXOR(after), F.col("n") - 1).alias("key"), F.col("i").alias("at"))
+    all_ = F.struct(F.xxhash64("whole", "n").alias("key"), F.lit(0).alias("at"))
+    keys = F.when(F.col("i") == 1, F.array(own, all_)).otherwise(F.array(own))
+    return each.select("lid", "first", F.explode(keys).alias("k")).select("lid", "first", "k.key", "k.at")
+
+
 def without(w: Column, at: Column) -> Column:
     """The words without the one at ``at`` (from 1); all of them for 0."""
     return F.when(at == 0, F.array_join(w, " ")).otherwise(F.array_join(F.concat(F.slice(w, 1, at - 1), F.slice(w, at + 1, F.size(w))), " "))
@@ -76,21 +90,18 @@ def variants(lined: DataFrame) -> DataFrame:
     return each.select("lid", "first", F.explode(keys).alias("k")).select("lid", "first", "k.key", "k.at")
 
 
-def near_lines(classes: DataFrame, source: DataFrame) -> DataFrame:
-    """(lid, kept): lines with an earlier line within one edit, and the earliest such.
-
-    classes: (lid, first) of each distinct line; source: its words by (doc, at).
-    """
-    emitted = variants(source.select("lid", "first", "w"))
-    v = scratch(emitted, "variants")
+def near_lines(source: DataFrame) -> DataFrame:
+    """(lid, kept): lines of ``source`` (lid, first, line) with an earlier line within one edit, and the earliest such."""
+    v = scratch(variants(source), "variants")
     mine = F.struct("first", "lid", "at")
     at_place = v.groupBy("key", "at").agg(F.min(mine).alias("least"), F.count("*").alias("c"))
     by_key = at_place.groupBy("key").agg(F.min(F.when(F.col("at") == 0, F.col("least"))).alias("wholes"), F.min(F.when(F.col("at") > 0, F.col("least"))).alias("parts"), F.sum("c").alias("c"))
     shared = at_place.drop("c").join(by_key.where("c > 1").drop("c"), "key")
     best = F.when(F.col("at") == 0, F.col("parts")).otherwise(F.least("least", "wholes"))
-    found = v.join(shared.select("key", "at", best.alias("best")), ["key", "at"]).where("best.first < first")
+    shared = scratch(shared.select("key", "at", best.alias("best")), "shared")
+    found = v.join(shared, ["key", "at"]).where("best.first < first")
     pairs = found.select("lid", "at", F.col("best.lid").alias("other"), F.col("best.at").alias("other_at"), F.col("best.first").alias("kept")).distinct()
-    w = source.select("lid", "w")
+    w = source.select("lid", F.split("line", " ").alias("w"))
     checked = pairs.join(w, "lid").join(w.select(F.col("lid").alias("other"), F.col("w").alias("other_w")), "other")
     checked = checked.where(without(F.col("w"), F.col("at")) == without(F.col("other_w"), F.col("other_at")))
     return checked.groupBy("lid").agg(F.min("kept").alias("kept"))
@@ -99,17 +110,19 @@ def near_lines(classes: DataFrame, source: DataFrame) -> DataFrame:
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
     """(doc, at, near): every line to remove; near: for an earlier line within one edit, else an equal one."""
     found = lines(docs, id_col, text_col, min_words)
-    place = F.struct("id", "doc", "at")
-    seen = found.select(line_key(F.col("w")).alias("lid"), place.alias("place"), half_keys(F.col("w"), F.col("n")).alias("halves"))
+    lid, place = F.unhex(F.md5("line")).alias("lid"), F.struct("id", "doc", "at")
+    seen = found.select(lid, place.alias("place"), half_keys(F.col("line"), F.col("n")).alias("halves"))
     classes = scratch(seen.groupBy("lid").agg(F.min("place").alias("first"), F.count("*").alias("c"), F.first("halves").alias("halves")), "lines")
-    halves = classes.select("lid", F.explode("halves").alias("half"))
+    # A short stand-in for the line id: two lines with the same one only pass the filter together.
+    halves = classes.select(F.xxhash64("lid").alias("short"), F.explode("halves").alias("half"))
     common = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    close = halves.join(common, "half").select("lid").distinct()
-    wanted = classes.join(close, "lid").select("lid", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "first")
-    source = scratch(wanted.join(found.select("doc", "at", "w").distinct(), ["doc", "at"]).select("lid", "first", "w"), "near-lines")
-    near = near_lines(classes.select("lid", "first"), source)
+    close = scratch(halves.join(common, "half").select("short").distinct(), "close")
+    wanted = classes.withColumn("short", F.xxhash64("lid")).join(close, "short").select("lid", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "first")
+    words_of = found.select("doc", "at", "line").join(wanted, ["doc", "at"])
+    source = scratch(words_of.groupBy("lid").agg(F.first("first").alias("first"), F.first("line").alias("line")), "near-lines")  # repeated rows: once
+    near = near_lines(source)
     judged = scratch(classes.join(near, "lid", "left").where("c > 1 OR kept IS NOT NULL").select("lid", "first", F.col("kept").isNotNull().alias("near")), "judged")
-    all_places = found.select(line_key(F.col("w")).alias("lid"), place.alias("place")).join(judged, "lid")
+    all_places = found.select(lid, place.alias("place")).join(judged, "lid")
     return all_places.where(F.col("near") | (F.col("place") != F.col("first"))).select("place.doc", "place.at", "near").distinct()
 
 

@@ -25,7 +25,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from freshet.llm.common import BLANKS, scratch, words
+from freshet.llm.common import BLANKS, blanked, scratch
 
 #: Rates and their floors: the least distance of a threshold beyond the quartile, in units of the rate.
 FLOORS = {"symbol_rate": 80, "dup_line_rate": 600, "repeat_rate": 400, "word_tenths": 40}
@@ -50,14 +50,16 @@ def repeat_words(w: Column, ranked: Column) -> Column:
 def with_counts(rows: DataFrame, text: Column) -> DataFrame:
     """``rows`` with the base counts of the whole text, and n_lines, each a long."""
     whole = F.coalesce(text, F.lit(""))
-    full = F.filter(F.split(whole, "\n"), lambda line: F.translate(line, " " + BLANKS, "") != "")
-    out = rows.withColumn("w", words(text)).withColumn("full", full).withColumn("ranked", windows(F.col("w")))
+    out = rows.withColumn("spaced", blanked(text, BLANKS.replace("\n", "")))
+    out = out.withColumn("w", F.array_remove(F.split(F.replace(F.col("spaced"), F.lit("\n"), F.lit(" ")), " "), ""))
+    full = F.filter(F.split(whole, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    out = out.withColumn("full", full).withColumn("ranked", windows(F.col("w")))
+    bare = F.replace(F.replace(F.col("spaced"), F.lit("\n"), F.lit("")), F.lit(" "), F.lit(""))
     counts = {
-        "n_words": F.size("w"), "word_chars": F.length(F.translate(whole, " " + BLANKS, "")),
-        "n_symbols": F.length(whole) - F.length(F.translate(whole, "#*$%&|<>", "")),
+        "n_words": F.size("w"), "word_chars": F.length(bare), "n_symbols": F.regexp_count(whole, F.lit(r"[#*$%&|<>]")),
         "n_dup_lines": F.size("full") - F.size(F.array_distinct("full")), "n_lines": F.size("full"), "n_repeat_words": repeat_words(F.col("w"), F.col("ranked")),
     }
-    return out.withColumns({k: c.cast("long") for k, c in counts.items()}).drop("w", "full", "ranked")
+    return out.withColumns({k: c.cast("long") for k, c in counts.items()}).drop("spaced", "w", "full", "ranked")
 
 
 def base_failed() -> Column:

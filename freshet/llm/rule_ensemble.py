@@ -25,7 +25,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import BLANKS, scratch, words
+from freshet.llm.common import blanked, scratch, words
 
 
 def statistics(rows: DataFrame, text: Column) -> tuple[DataFrame, list[str]]:
@@ -33,9 +33,9 @@ def statistics(rows: DataFrame, text: Column) -> tuple[DataFrame, list[str]]:
     whole = F.coalesce(text, F.lit(""))
     out = rows.withColumn("__text", whole).withColumn("__w", words(whole))
     w, t = F.col("__w"), F.col("__text")
-    out = out.withColumn("__n", F.greatest(F.size(w), F.lit(1)).cast("double")).withColumn("__c", F.greatest(F.length(F.translate(t, " " + BLANKS, "")), F.lit(1)).cast("double"))
+    out = out.withColumn("__n", F.greatest(F.size(w), F.lit(1)).cast("double")).withColumn("__c", F.greatest(F.length(F.replace(blanked(t), F.lit(" "), F.lit(""))), F.lit(1)).cast("double"))
     n, c = F.col("__n"), F.col("__c")
-    held = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
+    held = lambda chars: F.regexp_count(t, F.lit(f"[{chars}]"))
     stats = {
         "log_words": F.log1p(F.size(w)),
         "word_length": c / n,
@@ -43,9 +43,9 @@ def statistics(rows: DataFrame, text: Column) -> tuple[DataFrame, list[str]]:
         "doubled_words": F.size(F.filter(w, lambda x, i: F.coalesce(x == F.get(w, i - 1), F.lit(False)))) / n,
         "symbols": held("#*$%&|<>") / c,
         "pipes": held("|") / c,
-        "digits": held("0123456789") / c,
+        "digits": held("0-9") / c,
         "stops": held(".,;:!?") / c,
-        "capitals": held("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / c,
+        "capitals": held("A-Z") / c,
         "line_words": n / F.greatest(held("\n") + 1, F.lit(1)),
         "short_words": F.size(F.filter(w, lambda x: F.length(x) <= 3)) / n,
         "long_words": F.size(F.filter(w, lambda x: F.length(x) >= 15)) / n,
