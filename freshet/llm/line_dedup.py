@@ -50,8 +50,8 @@ def half_keys(line: Column, n: Column) -> Column:
     n-((n-1)//2) and n+1-(n//2) words.
     """
     half, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    head = lambda size: F.xxhash64(F.lit("head"), F.substring_index(line, " ", size))
-    tail = lambda size: F.xxhash64(F.lit("tail"), F.substring_index(line, " ", -size))
+    head = lambda size: F.xxhash64(F.lit("head"), F.call_function("substring_index", line, F.lit(" "), size))
+    tail = lambda size: F.xxhash64(F.lit("tail"), F.call_function("substring_index", line, F.lit(" "), -size))
     return F.array_distinct(F.array(head(half), head(less), tail(n - half), tail(n - less), tail(n + 1 - half)))
 
 
@@ -75,21 +75,6 @@ def without(w: Column, at: Column) -> Column:
     return F.when(at == 0, F.array_join(w, " ")).otherwise(F.array_join(F.concat(F.slice(w, 1, at - 1), F.slice(w, at + 1, F.size(w))), " "))
 
 
-def variants(lined: DataFrame) -> DataFrame:
-    """(lid, first, key, at): of each line (lid, first, w) the whole (at 0) and each variant without one word."""
-    each = lined.select("lid", "first", F.size("w").alias("n"), F.posexplode("w").alias("i", "word")).withColumn("i", F.col("i") + 1)
-    each = each.withColumn("here", F.xxhash64("word", "i")).withColumn("moved", F.xxhash64("word", F.col("i") - 1))
-    line, upto = Window.partitionBy("lid"), Window.partitionBy("lid").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    each = each.withColumn("whole", F.bit_xor("here").over(line)).withColumn("moved_all", F.bit_xor("moved").over(line))
-    each = each.withColumn("here_to", F.bit_xor("here").over(upto)).withColumn("moved_to", F.bit_xor("moved").over(upto))
-    before = F.col("here_to").bitwiseXOR(F.col("here"))
-    after = F.col("moved_all").bitwiseXOR(F.col("moved_to"))
-    own = F.struct(F.xxhash64(before.bitwiseXOR(after), F.col("n") - 1).alias("key"), F.col("i").alias("at"))
-    all_ = F.struct(F.xxhash64("whole", "n").alias("key"), F.lit(0).alias("at"))
-    keys = F.when(F.col("i") == 1, F.array(own, all_)).otherwise(F.array(own))
-    return each.select("lid", "first", F.explode(keys).alias("k")).select("lid", "first", "k.key", "k.at")
-
-
 def near_lines(source: DataFrame) -> DataFrame:
     """(lid, kept): lines of ``source`` (lid, first, line) with an earlier line within one edit, and the earliest such."""
     v = scratch(variants(source), "variants")
