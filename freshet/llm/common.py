@@ -44,6 +44,22 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of a broadcast filter: one long each.
+FILTER_ROWS = 2_000_000
+
+
+def only_near(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """``rows`` without most that cannot join ``wanted`` (a written table): a filter on hashes ahead of a join.
+
+    It is broadcast only up to FILTER_ROWS rows; beyond that the rows pass as
+    they are and the join alone decides. Nothing that joins is lost.
+    """
+    if wanted.count() > FILTER_ROWS:
+        return rows
+    hashes = wanted.select(wanted_key.alias("__hash")).distinct()
+    return rows.withColumn("__h", key).join(F.broadcast(hashes), F.col("__h") == F.col("__hash"), "left_semi").drop("__h")
+
+
 def blanked(text: Column, blanks: str = BLANKS) -> Column:
     """The text with each of ``blanks`` as a space; null as the empty text."""
     out = F.coalesce(text, F.lit(""))

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from freshet.llm.common import BLANKS, blanked, scratch
+from freshet.llm.common import BLANKS, blanked, only_near, scratch
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
@@ -102,12 +102,14 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     halves = classes.select(F.xxhash64("lid").alias("short"), F.explode("halves").alias("half"))
     common = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
     close = scratch(halves.join(common, "half").select("short").distinct(), "close")
-    wanted = classes.withColumn("short", F.xxhash64("lid")).join(close, "short").select("lid", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "first")
-    words_of = found.select("doc", "at", "line").join(wanted, ["doc", "at"])
+    near_classes = classes.withColumn("short", F.xxhash64("lid")).join(close, "short")
+    wanted = scratch(near_classes.select("lid", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "first"), "wanted")
+    at_hash = F.xxhash64("doc", "at")
+    words_of = only_near(found.select("doc", "at", "line"), at_hash, wanted, at_hash).join(wanted, ["doc", "at"])
     source = scratch(words_of.groupBy("lid").agg(F.first("first").alias("first"), F.first("line").alias("line")), "near-lines")  # repeated rows: once
     near = near_lines(source)
     judged = scratch(classes.join(near, "lid", "left").where("c > 1 OR kept IS NOT NULL").select("lid", "first", F.col("kept").isNotNull().alias("near")), "judged")
-    all_places = found.select(lid, place.alias("place")).join(judged, "lid")
+    all_places = only_near(found.select(lid, place.alias("place")), F.xxhash64("lid"), judged, F.xxhash64("lid")).join(judged, "lid")
     return all_places.where(F.col("near") | (F.col("place") != F.col("first"))).select("place.doc", "place.at", "near").distinct()
 
 
