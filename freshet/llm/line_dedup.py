@@ -25,19 +25,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from freshet.llm.common import BLANKS, blanked, only_near, scratch
+from freshet.llm.common import only_near, scratch
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(doc, id, at, line, n): every line of ``min_words`` words, its words joined by single spaces, by row signature, id and line number from 0."""
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    parts = F.split(blanked(F.col("text"), BLANKS.replace("\n", "")), "\n")
-    each = rows.select(signature(F.col("id"), F.col("text")).alias("doc"), "id", F.posexplode(parts).alias("at", "raw"))
-    each = each.withColumn("line", F.trim("raw")).drop("raw")
-    each = each.withColumn("line", F.when(F.contains("line", F.lit("  ")), F.regexp_replace("line", " +", " ")).otherwise(F.col("line")))
+    each = rows.select(signature(F.col("id"), F.col("text")).alias("doc"), "id", F.posexplode(F.split(single_spaced(F.col("text")), "\n")).alias("at", "line"))
     return each.withColumn("n", F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= min_words)
 
 
+def single_spaced(text: Column) -> Column:
+    """The text with one space between the words of a line and none at its ends; most texts are so already."""
+    inner = F.regexp_replace(text, r"[\x20\t\x0b\f\r]+", " ")
+    odd = text.rlike(r"[\t\x0b\f\r]|\x20[\x20\n]|\n\x20|^\x20|\x20$")
+    return F.when(odd, F.trim(F.regexp_replace(inner, r" ?\n ?", "\n"))).otherwise(text)
+
+
 def signature(doc_id: Column, text: Column) -> Column:
     """Sixteen bytes for a row: its id and text."""
     return F.unhex(F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), text)))
