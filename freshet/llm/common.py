@@ -21,14 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local session may go without the setting; it then gets a folder of its own.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if context.master != "local" and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="freshet-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="freshet-"))
+    return context.getCheckpointDir()
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:

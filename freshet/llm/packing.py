@@ -37,7 +37,8 @@ class Encoder:
 
     A text is cut where the pre-tokeniser always cuts (before the last blank
     ahead of a word); the tokenizer's ids of each chunk are kept, up to
-    ``keep`` chunks, so a frequent word is encoded once in a task.
+    ``keep`` chunks, so a frequent word is encoded once in a task. Strings of
+    the tokenizer's added tokens become those tokens, as in whole texts.
     """
 
     def __init__(self, path: str, keep: int = 400_000):
@@ -46,11 +47,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known, self.keep = {}, keep
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [CHUNK.findall(t) for t in texts]
+        # An added token may take blanks beside it from their chunk, so a text that holds one is a chunk itself.
+        chunks = [[t] if any(a in t for a in self.added) else CHUNK.findall(t) for t in texts]
         if len(self.known) > self.keep:
             self.known.clear()
         new = list({c for found in chunks for c in found} - self.known.keys())
@@ -245,7 +247,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 def sequences(found: DataFrame, packed: DataFrame) -> DataFrame:
     """The packed token ids: one row per sequence (sequence_id, ids), from pieces with their ids."""
     keys = ["id", "piece", "start", "ids_crc32"]
-    placed = packed.select(*keys, "sequence_id", "offset").dropDuplicates([*keys, "sequence_id", "offset"])
-    joined = found.select(*keys, "ids").dropDuplicates(keys).join(placed, keys)
+    part = F.struct(F.coalesce(F.col("id").cast("string"), F.lit("(null)")), *keys[1:]).alias("part")  # rows without an id join too
+    placed = packed.select(part, "sequence_id", "offset").distinct()
+    joined = found.select(part, "ids").dropDuplicates(["part"]).join(placed, "part")
     parts = F.array_sort(F.collect_list(F.struct("offset", F.hex("ids").alias("ids"))))
     return joined.groupBy("sequence_id").agg(parts.alias("parts")).select("sequence_id", F.unhex(F.array_join("parts.ids", "")).alias("ids"))

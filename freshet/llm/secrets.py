@@ -152,5 +152,3 @@ def scan(docs: DataFrame, model: SecretModel, id_col: str = "doc_id", text_col:
     kind = rows.schema["id"].dataType.simpleString()
     found = rows.mapInArrow(find, f"id {kind}, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string, redacted string")
     return found
-
-
