@@ -60,6 +60,21 @@ def only_near(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Colum
     return rows.withColumn("__h", key).join(F.broadcast(hashes), F.col("__h") == F.col("__hash"), "left_semi").drop("__h")
 
 
+def join_few(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """The left join of ``rows`` and ``few`` (a written table) on ``key``; rows that cannot join are not shuffled.
+
+    The filter is broadcast only up to FILTER_ROWS rows of ``few``; beyond
+    that it is an ordinary join.
+    """
+    if few.count() > FILTER_ROWS:
+        return rows.join(few, key, "left")
+    hashes = F.broadcast(few.select(F.xxhash64(key).alias("__hash")).distinct())
+    hashed = rows.withColumn("__h", F.xxhash64(key))
+    may = hashed.join(hashes, F.col("__h") == F.col("__hash"), "left_semi").drop("__h").join(few, key, "left")
+    rest = hashed.join(hashes, F.col("__h") == F.col("__hash"), "left_anti").drop("__h")
+    return may.unionByName(rest, allowMissingColumns=True)
+
+
 def blanked(text: Column, blanks: str = BLANKS) -> Column:
     """The text with each of ``blanks`` as a space; null as the empty text."""
     out = F.coalesce(text, F.lit(""))

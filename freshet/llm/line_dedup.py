@@ -25,20 +25,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from freshet.llm.common import only_near, scratch
+from freshet.llm.common import join_few, only_near, scratch
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(doc, id, at, line, n): every line of ``min_words`` words, its words joined by single spaces, by row signature, id and line number from 0."""
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    each = rows.select(signature(F.col("id"), F.col("text")).alias("doc"), "id", F.posexplode(F.split(single_spaced(F.col("text")), "\n")).alias("at", "line"))
+    # Texts are signed and spaced once, ahead of the explode.
+    spaced = rows.select(signature(F.col("id"), F.col("text")).alias("doc"), "id", single_spaced(F.col("text")).alias("text"))
+    each = spaced.select("doc", "id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     return each.withColumn("n", F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= min_words)
 
 
 def single_spaced(text: Column) -> Column:
     """The text with one space between the words of a line and none at its ends; most texts are so already."""
     inner = F.regexp_replace(text, r"[\x20\t\x0b\f\r]+", " ")
-    odd = text.rlike(r"[\t\x0b\f\r]|\x20[\x20\n]|\n\x20|^\x20|\x20$")
+    odd = text.startswith(" ") | text.endswith(" ")
+    for c in ("  ", " \n", "\n ", "\t", "\x0b", "\f", "\r"):
+        odd = odd | text.contains(c)
     return F.when(odd, F.trim(F.regexp_replace(inner, r" ?\n ?", "\n"))).otherwise(text)
 
 
@@ -120,7 +124,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
     """(row, n_lines, n_exact, n_near): ``row`` holds the columns of ``docs``, its text without the lines that go."""
     gone = duplicates(docs, id_col, text_col, min_words).groupBy("doc").agg(F.collect_list("at").alias("gone"), F.count_if(~F.col("near")).alias("n_exact"), F.count_if("near").alias("n_near"))
-    rows = docs.select(F.struct("*").alias("row"), signature(F.col(id_col), F.col(text_col)).alias("doc")).join(gone, "doc", "left")
+    rows = join_few(docs.select(F.struct("*").alias("row"), signature(F.col(id_col), F.col(text_col)).alias("doc")), scratch(gone, "gone"), "doc")
     text = F.col(f"row.{text_col}")
     kept = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
     rest = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.col("parts")[i]), "\n"))
