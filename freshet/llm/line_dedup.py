@@ -28,11 +28,17 @@ from pyspark.sql import functions as F
 from freshet.llm.common import join_few, only_near, scratch
 
 
-def lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(doc, id, at, line, n): every line of ``min_words`` words, its words joined by single spaces, by row signature, id and line number from 0."""
+def lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, wanted: DataFrame | None = None) -> DataFrame:
+    """(doc, id, at, line, n): every line of ``min_words`` words, its words joined by single spaces, by row signature, id and line number from 0.
+
+    With ``wanted``, a written table, rows whose ``doc`` it lacks may be left out.
+    """
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # Texts are signed and spaced once, ahead of the explode.
-    spaced = rows.select(signature(F.col("id"), F.col("text")).alias("doc"), "id", single_spaced(F.col("text")).alias("text"))
+    rows = rows.select(signature(F.col("id"), F.col("text")).alias("doc"), "id", "text")
+    if wanted is not None:
+        rows = only_near(rows, F.xxhash64("doc"), wanted, F.xxhash64("doc"))
+    spaced = rows.select("doc", "id", single_spaced(F.col("text")).alias("text"))
     each = spaced.select("doc", "id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     return each.withColumn("n", F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= min_words)
 
@@ -102,9 +108,8 @@ def near_lines(source: DataFrame) -> DataFrame:
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
     """(doc, at, near): every line to remove; near: for an earlier line within one edit, else an equal one."""
-    found = lines(docs, id_col, text_col, min_words)
-    lid, place = F.unhex(F.md5("line")).alias("lid"), F.struct("id", "doc", "at")
-    seen = found.select(lid, place.alias("place"), half_keys(F.col("line"), F.col("n")).alias("halves"))
+    lid, place = F.unhex(F.md5("line")).alias("lid"), F.struct("id", "doc", "at").alias("place")
+    seen = scratch(lines(docs, id_col, text_col, min_words).select(lid, place, half_keys(F.col("line"), F.col("n")).alias("halves")), "line-places")
     classes = scratch(seen.groupBy("lid").agg(F.min("place").alias("first"), F.count("*").alias("c"), F.first("halves").alias("halves")), "lines")
     # A short stand-in for the line id: two lines with the same one only pass the filter together.
     halves = classes.select(F.xxhash64("lid").alias("short"), F.explode("halves").alias("half"))
@@ -112,12 +117,11 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     close = scratch(halves.join(common, "half").select("short").distinct(), "close")
     near_classes = classes.withColumn("short", F.xxhash64("lid")).join(close, "short")
     wanted = scratch(near_classes.select("lid", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "first"), "wanted")
-    at_hash = F.xxhash64("doc", "at")
-    words_of = only_near(found.select("doc", "at", "line"), at_hash, wanted, at_hash).join(wanted, ["doc", "at"])
+    words_of = lines(docs, id_col, text_col, min_words, wanted).select("doc", "at", "line").join(wanted, ["doc", "at"])
     source = scratch(words_of.groupBy("lid").agg(F.first("first").alias("first"), F.first("line").alias("line")), "near-lines")  # repeated rows: once
     near = near_lines(source)
     judged = scratch(classes.join(near, "lid", "left").where("c > 1 OR kept IS NOT NULL").select("lid", "first", F.col("kept").isNotNull().alias("near")), "judged")
-    all_places = only_near(found.select(lid, place.alias("place")), F.xxhash64("lid"), judged, F.xxhash64("lid")).join(judged, "lid")
+    all_places = only_near(seen.select("lid", "place"), F.xxhash64("lid"), judged, F.xxhash64("lid")).join(judged, "lid")
     return all_places.where(F.col("near") | (F.col("place") != F.col("first"))).select("place.doc", "place.at", "near").distinct()
 
 
