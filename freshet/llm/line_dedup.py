@@ -71,6 +71,7 @@ def half_keys(line: Column, n: Column) -> Column:
 
 def variants(lined: DataFrame) -> DataFrame:
     """(lid, first, key, at): of each line (lid, first, line) the whole (at 0) and each variant without one word."""
+    lined = lined.repartition("lid")  # lines move, not their words
     each = lined.withColumn("w", F.split("line", " ")).select("lid", "first", F.size("w").alias("n"), F.posexplode("w").alias("i", "word")).withColumn("i", F.col("i") + 1)
     each = each.withColumn("here", F.xxhash64("word", "i")).withColumn("moved", F.xxhash64("word", F.col("i") - 1)).drop("word")
     line, upto = Window.partitionBy("lid"), Window.partitionBy("lid").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
@@ -92,6 +93,8 @@ def without(w: Column, at: Column) -> Column:
 def near_lines(source: DataFrame) -> DataFrame:
     """(lid, kept): lines of ``source`` (lid, first, line) with an earlier line within one edit, and the earliest such."""
     v = scratch(variants(source), "variants")
+    keys = scratch(v.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "keys")
+    v = only_near(v, F.col("key"), keys, F.col("key"))
     mine = F.struct("first", "lid", "at")
     at_place = v.groupBy("key", "at").agg(F.min(mine).alias("least"), F.count("*").alias("c"))
     by_key = at_place.groupBy("key").agg(F.min(F.when(F.col("at") == 0, F.col("least"))).alias("wholes"), F.min(F.when(F.col("at") > 0, F.col("least"))).alias("parts"), F.sum("c").alias("c"))
@@ -113,9 +116,9 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = scratch(seen.groupBy("lid").agg(F.min("place").alias("first"), F.count("*").alias("c"), F.first("halves").alias("halves")), "lines")
     # A short stand-in for the line id: two lines with the same one only pass the filter together.
     halves = classes.select(F.xxhash64("lid").alias("short"), F.explode("halves").alias("half"))
-    common = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    close = scratch(halves.join(common, "half").select("short").distinct(), "close")
-    near_classes = classes.withColumn("short", F.xxhash64("lid")).join(close, "short")
+    common = scratch(halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half"), "halves")
+    close = scratch(only_near(halves, F.col("half"), common, F.col("half")).join(common, "half").select("short").distinct(), "close")
+    near_classes = only_near(classes, F.xxhash64("lid"), close, F.col("short")).withColumn("short", F.xxhash64("lid")).join(close, "short")
     wanted = scratch(near_classes.select("lid", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "first"), "wanted")
     words_of = lines(docs, id_col, text_col, min_words, wanted).select("doc", "at", "line").join(wanted, ["doc", "at"])
     source = scratch(words_of.groupBy("lid").agg(F.first("first").alias("first"), F.first("line").alias("line")), "near-lines")  # repeated rows: once
