@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,3 +44,15 @@ def smooth3x3(cells: DataFrame, i: str, j: str, value: str, ni: int, nj: int) ->
     at = lambda c, d, n: F.when((F.col(c) == 0) & (F.col(d) == 1), F.array(F.lit(0), F.lit(1))).when((F.col(c) == n - 1) & (F.col(d) == -1), F.array(F.lit(n - 1), F.lit(n - 2))).when((F.col(c) + F.col(d) < 0) | (F.col(c) + F.col(d) >= n), F.array().cast("array<int>")).otherwise(F.array(F.col(c) + F.col(d)))
     sent = seen.withColumn("ti", F.explode(at(i, "di", ni))).withColumn("tj", F.explode(at(j, "dj", nj)))
     return sent.groupBy(F.col("ti").alias(i), F.col("tj").alias(j)).agg((F.sum(value) / 9.0).alias("smoothed"))
+
+
+def slope(cells: DataFrame, i: str, j: str, value: str) -> DataFrame:
+    """Gradient magnitude: central differences, one-sided at the edges; 0 along an axis of one cell."""
+    total = F.lit(0.0)
+    for line, along in ((j, i), (i, j)):
+        order = Window.partitionBy(line).orderBy(along)
+        before, after, own = F.lag(value).over(order), F.lead(value).over(order), F.col(value)
+        width = F.when(before.isNull() | after.isNull(), 1.0).otherwise(2.0)
+        d = (F.coalesce(after, own) - F.coalesce(before, own)) / width
+        total = total + d * d
+    return cells.select("*", F.sqrt(total).alias("slope"))

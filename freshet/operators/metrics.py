@@ -49,3 +49,72 @@ def reliability(scored: DataFrame, bins: int = 10) -> DataFrame:
     """Per bin: n, mean score, observed rate; a score of 1 is in the last bin."""
     b = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int").alias("bin")
     return scored.groupBy(b).agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.avg(F.col("label").cast("double")), 6).alias("observed"))
+
+
+def conformal(scored: DataFrame, alpha: float = 0.2) -> DataFrame:
+    """Quantiles of the absolute error, and the share of labels inside the clipped interval of the first."""
+    err = F.abs(F.col("label") - F.col("score"))
+    q = scored.agg(F.percentile(err, F.lit(1 - alpha)).alias("q80"), F.percentile(err, F.lit(0.1)).alias("q10"), F.percentile(err, F.lit(0.9)).alias("q90"))
+    inside = F.col("label").between(F.greatest(F.col("score") - F.col("q80"), F.lit(0.0)), F.least(F.col("score") + F.col("q80"), F.lit(1.0)))
+    met = scored.crossJoin(F.broadcast(q)).groupBy("q80", "q10", "q90").agg(F.avg(inside.cast("double")).alias("coverage"))
+    return met.select(*[F.round(c, 6).alias(c) for c in ("q80", "q10", "q90", "coverage")])
+
+
+def event_iou(scored: DataFrame, event: str, threshold: float) -> DataFrame:
+    """Per event: tp, fp, fn and IoU (null where nothing is predicted or true): events, not rows, are independent."""
+    hit, yes = F.col("score") >= threshold, F.col("label") == 1
+    pooled = scored.groupBy(event).agg(F.count_if(hit & yes).alias("tp"), F.count_if(hit & ~yes).alias("fp"), F.count_if(~hit & yes).alias("fn"))
+    any_ = F.col("tp") + F.col("fp") + F.col("fn")
+    return pooled.withColumn("iou", F.when(any_ > 0, F.col("tp") / any_))
+
+
+def macro_micro(scored: DataFrame, event: str, threshold: float) -> DataFrame:
+    """Mean, population deviation and median over events beside the pooled value."""
+    micro = F.sum("tp") / F.sum(F.col("tp") + F.col("fp") + F.col("fn"))
+    parts = {"macro_iou": F.avg("iou"), "std_iou": F.stddev_pop("iou"), "median_iou": F.median("iou"), "micro_iou": micro}
+    return event_iou(scored, event, threshold).agg(F.count("iou").alias("n_events"), *[F.round(v, 6).alias(k) for k, v in parts.items()])
+
+
+def by_tokens(rows: DataFrame, tokens: str, label: str, score: str) -> DataFrame:
+    """Means per token of a list column; rows with a null or empty list count as ``unknown``."""
+    found = F.explode(F.when(F.coalesce(F.size(tokens), F.lit(0)) > 0, F.col(tokens)).otherwise(F.array(F.lit("unknown"))))
+    each = rows.select(found.alias("token"), label, score)
+    return each.groupBy("token").agg(F.count("*").alias("n"), F.round(F.avg(F.col(label).cast("double")), 6).alias("rate"), F.round(F.avg(score), 6).alias("mean_score"))
+
+
+def choose_threshold(scored: DataFrame, grid: list[float]) -> DataFrame:
+    """The grid's first threshold of the greatest F1. One pass: a row adds to counts per grid slot, which are then summed."""
+    edges = F.array(*[F.lit(t) for t in grid])
+    slots = scored.groupBy(F.size(F.filter(edges, lambda t: t <= F.col("score"))).alias("slot"), "label").agg(F.count("*").alias("n"))
+    each = slots.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(len(grid)))))
+    hit = F.col("slot") >= F.col("k")
+    counts = each.groupBy("k").agg(*[F.sum(F.when(c, F.col("n")).otherwise(0)).alias(name) for name, c in (("tp", hit & (F.col("label") == 1)), ("fp", hit & (F.col("label") == 0)), ("fn", ~hit & (F.col("label") == 1)))])
+    any_ = 2 * F.col("tp") + F.col("fp") + F.col("fn")
+    f1 = counts.withColumn("f1", F.when(any_ > 0, 2 * F.col("tp") / any_).otherwise(0.0)).orderBy(F.col("f1").desc(), "k").limit(1)
+    return f1.select(F.round(F.element_at(edges, F.col("k")), 2).alias("threshold"), F.round("f1", 6).alias("f1"))
+
+
+def climatology(rows: DataFrame, group: str, month: str, y: str, least: int) -> DataFrame:
+    """Mean of ``y`` by group and month; below ``least`` rows the month's mean."""
+    own = rows.groupBy(group, month).agg(F.count("*").alias("n"), F.avg(y).alias("p"))
+    wide = rows.groupBy(month).agg(F.avg(y).alias("wide"))
+    return own.join(wide, month).select(group, month, "n", F.round(F.when(F.col("n") >= least, F.col("p")).otherwise(F.col("wide")), 6).alias("climatology"))
+
+
+def bootstrap(events: DataFrame, key: str, value: str, draws: int) -> DataFrame:
+    """(n_events, mean, low, high): resamples of events with Poisson(1) weights from a hash of (draw, event).
+
+    Each event is exploded ``draws`` times and summed by draw, so it needs no
+    numbering of events and merges anywhere.
+    """
+    u = F.pmod(F.xxhash64("draw", key), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    steps, total, term = [], 0.0, 0.36787944117144233  # the Poisson(1) distribution function, term by term
+    for k in range(1, 9):
+        total += term
+        steps.append(total)
+        term /= k
+    weight = F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s <= F.col("u")))
+    each = events.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("u", u).withColumn("weight", weight)
+    means = each.groupBy("draw").agg((F.sum(F.col("weight") * F.col(value)) / F.sum("weight")).alias("m"))
+    spread = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    return events.agg(F.count("*").alias("n_events"), F.avg(value).alias("mean")).crossJoin(spread)

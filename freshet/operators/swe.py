@@ -1,0 +1,124 @@
+"""A shallow-water solver on regular grids: ensembles in parallel, one run a group.
+
+Explicit Euler steps of a well-balanced finite-volume scheme: hydrostatic
+reconstruction at each face, Rusanov fluxes, rain, semi-implicit Manning
+friction, and a CFL step over both axes. A run's grid must fit one task (a
+150 x 150 grid has 1 MB); runs spread over the cluster.
+
+Defined results: depth stays at 0 or more and momentum is 0 where the depth is
+at most ``dry``; a run whose momentum passes ``burst`` stops early with the
+state it has; null cells are an error, an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from typing import NamedTuple
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+CELLS = "run_id long, j int, i int, z double, h double, hu double, hv double"
+
+
+class Config(NamedTuple):
+    dx: float
+    dy: float
+    t_end: float
+    cfl: float = 0.5
+    g: float = 9.81
+    dry: float = 1e-4
+    manning: float = 0.03
+    walls: str = "reflective"
+    burst: float = 50.0
+    max_steps: int = 100_000
+
+
+def _padded(a: np.ndarray, axis: int, sign: float) -> np.ndarray:
+    first, last = np.take(a, [0], axis), np.take(a, [-1], axis)
+    return np.concatenate([sign * first, a, sign * last], axis)
+
+
+def _axis_change(z: np.ndarray, h: np.ndarray, along: np.ndarray, across: np.ndarray, axis: int, d: float, c: Config) -> tuple[np.ndarray, ...]:
+    """Rates of (h, along, across) from the fluxes over the faces of one axis."""
+    flip = -1.0 if c.walls == "reflective" else 1.0
+    z, h, m, t = _padded(z, axis, 1.0), _padded(h, axis, 1.0), _padded(along, axis, flip), _padded(across, axis, 1.0)
+    n = z.shape[axis]
+    lo, hi = (lambda a: np.take(a, range(n - 1), axis)), (lambda a: np.take(a, range(1, n), axis))
+    face = np.maximum(lo(z), hi(z))
+    sides = []
+    for side in (lo, hi):
+        depth = np.maximum(0.0, side(h) + side(z) - face)
+        wet = (side(h) > c.dry) & (depth > c.dry)
+        scale = np.where(wet, depth / np.where(wet, side(h), 1.0), 0.0)
+        q, s = side(m) * scale, side(t) * scale
+        u = np.where(wet, q / np.where(wet, depth, 1.0), 0.0)
+        sides.append((depth, q, s, u, np.abs(u) + np.sqrt(c.g * depth)))
+    (hl, ql, sl, ul, cl), (hr, qr, sr, ur, cr) = sides
+    speed = np.maximum(cl, cr)
+    flux = [0.5 * (ql + qr) - 0.5 * speed * (hr - hl), 0.5 * (ql * ul + 0.5 * c.g * hl**2 + qr * ur + 0.5 * c.g * hr**2) - 0.5 * speed * (qr - ql), 0.5 * (sl * ul + sr * ur) - 0.5 * speed * (sr - sl)]
+    inner_lo, inner_hi = (lambda a: np.take(a, range(n - 2), axis)), (lambda a: np.take(a, range(1, n - 1), axis))
+    rates = [-(inner_hi(f) - inner_lo(f)) / d for f in flux]
+    rates[1] = rates[1] + 0.5 * c.g * (inner_hi(hl) ** 2 - inner_lo(hr) ** 2) / d
+    return tuple(rates)
+
+
+def time_step(h: np.ndarray, hu: np.ndarray, hv: np.ndarray, c: Config) -> float:
+    """The greatest step that the CFL number allows on either axis."""
+    wet = h > c.dry
+    if not wet.any():
+        return c.t_end
+    wave = np.sqrt(c.g * h[wet])
+    sx, sy = (np.abs(hu[wet] / h[wet]) + wave).max(), (np.abs(hv[wet] / h[wet]) + wave).max()
+    return c.cfl * min(c.dx / max(sx, 1e-12), c.dy / max(sy, 1e-12))
+
+
+def step(z: np.ndarray, h: np.ndarray, hu: np.ndarray, hv: np.ndarray, rain: float, dt: float, c: Config) -> tuple[np.ndarray, ...]:
+    """One step of arrays (y, x)."""
+    hx, ux, vx = _axis_change(z, h, hu, hv, 1, c.dx, c)
+    hy, vy, uy = _axis_change(z, h, hv, hu, 0, c.dy, c)
+    h = np.maximum(0.0, h + dt * (hx + hy))
+    hu, hv = hu + dt * (ux + uy), hv + dt * (vx + vy)
+    h = np.maximum(0.0, h + dt * rain)
+    wet = h > c.dry
+    safe = np.where(wet, h, 1.0)
+    drag = 1.0 + dt * c.g * c.manning**2 * np.sqrt(hu**2 + hv**2) / safe ** (7.0 / 3.0)
+    return h, np.where(wet, hu / drag, 0.0), np.where(wet, hv / drag, 0.0)
+
+
+def run(z: np.ndarray, h: np.ndarray, hu: np.ndarray, hv: np.ndarray, rain: float, c: Config) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, float]:
+    """(h, hu, hv, steps, time) at ``t_end``, or where the run bursts."""
+    t, n = 0.0, 0
+    while t < c.t_end - 1e-12 and n < c.max_steps:
+        dt = min(time_step(h, hu, hv, c), c.t_end - t)
+        h, hu, hv = step(z, h, hu, hv, rain, dt, c)
+        t, n = t + dt, n + 1
+        if max(np.abs(hu).max(), np.abs(hv).max()) > c.burst:
+            break
+    return h, hu, hv, n, t
+
+
+def dam_break(runs: DataFrame, ny: int, nx: int) -> DataFrame:
+    """Cells for each (run_id, rain): water of 1.5 m left of the middle, 0.1 m right of it, over a gentle slope."""
+    cells = runs.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(ny - 1)))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nx - 1))))
+    depth = F.when(F.col("i") < nx // 2, 1.5).otherwise(0.1)
+    return cells.select(F.col("run_id").cast("long").alias("run_id"), "rain", "j", "i", (F.col("i") * 0.01).alias("z"), depth.alias("h"), F.lit(0.0).alias("hu"), F.lit(0.0).alias("hv"))
+
+
+def ensemble(cells: DataFrame, c: Config) -> DataFrame:
+    """(run_id, steps, t, volume, max_depth, max_speed, wet_cells, min_depth) of each run."""
+    columns = "run_id long, steps int, t double, volume double, max_depth double, max_speed double, wet_cells long, min_depth double"
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["j", "i"])
+        shape = rows["j"].nunique(), rows["i"].nunique()
+        z, h, hu, hv = (rows[k].to_numpy(dtype=float).reshape(shape) for k in ("z", "h", "hu", "hv"))
+        if not all(np.isfinite(a).all() for a in (z, h, hu, hv)):
+            raise ValueError("a cell without a finite state")
+        h, hu, hv, n, t = run(z, h, hu, hv, float(rows["rain"].iloc[0]), c)
+        wet = h > c.dry
+        speed = np.sqrt(hu**2 + hv**2)[wet] / h[wet]
+        return pd.DataFrame([[rows["run_id"].iloc[0], n, t, h.sum() * c.dx * c.dy, h.max(), speed.max(initial=0.0), int(wet.sum()), h.min()]], columns=[x.split()[0] for x in columns.split(", ")])
+
+    return cells.groupBy("run_id").applyInPandas(solve, columns)

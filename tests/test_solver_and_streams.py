@@ -1,0 +1,107 @@
+"""Solver invariants, and streams against their batch forms."""
+
+import tempfile
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from freshet.operators import graph, swe
+from freshet.plans import ordered, scores
+from freshet.streaming import rain
+
+
+def still(ny, nx, c, steps, walls="reflective"):
+    y, x = np.mgrid[0:ny, 0:nx] * 0.2
+    z = 0.1 * ((x - x.mean()) ** 2 + (y - y.mean()) ** 2)
+    h = np.maximum(0.0, 2.0 - z)
+    hu = hv = np.zeros_like(h)
+    for _ in range(steps):
+        h, hu, hv = swe.step(z, h, hu, hv, 0.0, swe.time_step(h, hu, hv, c), c)
+    return z, h, hu, hv
+
+
+@pytest.mark.parametrize("shape", [(20, 20), (12, 20), (30, 50)])
+def test_a_lake_at_rest_stays(shape):
+    c = swe.Config(dx=0.2, dy=0.2, t_end=1.0, dry=1e-3)
+    z, h, hu, hv = still(*shape, c, 10)
+    assert max(np.abs(hu).max(), np.abs(hv).max()) < 1e-12
+    assert np.abs((h + z)[h > 1e-3] - 2.0).max() < 1e-12
+
+
+def test_dam_break_keeps_water_and_symmetry():
+    c = swe.Config(dx=0.5, dy=0.5, t_end=1.0)
+    h = np.where(np.arange(40)[None, :] < 20, 1.5, 0.1) * np.ones((15, 1))
+    zero = np.zeros_like(h)
+    out, hu, hv, n, t = swe.run(zero, h, zero, zero, 0.0, c)
+    assert n > 3 and abs(t - 1.0) < 1e-9 and out.min() >= 0
+    assert abs(out.sum() - h.sum()) < 1e-9 * h.sum() and np.abs(hv).max() == 0 and hu.max() > 0
+    turned, ty, tx, _, _ = swe.run(zero.T, h.T, zero.T, zero.T, 0.0, c)
+    assert np.allclose(turned.T, out) and np.allclose(tx.T, hu)
+
+
+def test_rain_adds_its_volume_and_dry_cells_rest():
+    c = swe.Config(dx=1.0, dy=1.0, t_end=10.0)
+    zero = np.zeros((10, 12))
+    h, hu, hv, _, _ = swe.run(zero, zero, zero, zero, 1e-3, c)
+    assert abs(h.sum() - 120 * 1e-3 * 10) < 1e-9 and np.abs(hu).max() < 1e-12
+    h, hu, hv, _, _ = swe.run(np.mgrid[0:10, 0:12][1] * 0.1, zero, zero, zero, 0.0, c)
+    assert np.abs(hu).max() == np.abs(hv).max() == h.max() == 0
+    h, _, _, _, _ = swe.run(zero, zero + 0.01, zero, zero, -1.0, swe.Config(dx=1.0, dy=1.0, t_end=1.0))
+    assert h.min() >= 0
+
+
+def test_ensemble_equals_single_runs(spark):
+    runs = spark.createDataFrame([(1, 0.0), (2, 1e-3)], "run_id long, rain double")
+    c = swe.Config(dx=1.0, dy=1.0, t_end=0.5)
+    got = {r.run_id: r for r in swe.ensemble(swe.dam_break(runs, 6, 10), c).collect()}
+    z, h = np.arange(10)[None, :] * 0.01 * np.ones((6, 1)), np.where(np.arange(10)[None, :] < 5, 1.5, 0.1) * np.ones((6, 1))
+    for run_id, r in ((1, 0.0), (2, 1e-3)):
+        out, _, _, n, _ = swe.run(z, h, np.zeros_like(h), np.zeros_like(h), r, c)
+        assert got[run_id].steps == n and abs(got[run_id].volume - out.sum()) < 1e-9
+    assert swe.ensemble(swe.dam_break(runs.limit(0), 6, 10), c).count() == 0
+
+
+def _stream(spark, sf_dir):
+    """events.parquet alone in a folder of links."""
+    import os
+
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    os.symlink(f"{sf_dir}/events.parquet", f"{folder}/events.parquet")
+    return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(folder)
+
+
+def test_alert_stream_equals_batch(spark, small):
+    out = rain.drain(rain.alert_states(_stream(spark, small), "user_id", "ts", "value", 70.0), tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    from freshet.operators.platform import alert_transitions
+
+    batch = alert_transitions(spark.read.parquet(f"{small}/events.parquet"), "user_id", "ts", F.col("value") > 70)
+    assert sorted((r.key, r.at, r.transition) for r in out.collect()) == sorted((r.user_id, r.ts, r.transition) for r in batch.collect())
+
+
+def test_window_sum_stream_is_within_batch(spark, small):
+    sums = rain.window_sums(_stream(spark, small), "ts", ["event_type"], "value")
+    out = {(r.event_type, r.start): r.n for r in rain.drain(sums, tempfile.mkdtemp(prefix="spark-", dir="/tmp")).collect()}
+    batch = spark.read.parquet(f"{small}/events.parquet").groupBy("event_type", F.window(F.col("ts").cast("timestamp"), "6 hours").start.alias("start")).count()
+    want = {(r.event_type, r.start): r["count"] for r in batch.collect()}
+    assert out and all(want[k] == n for k, n in out.items()) and len(out) >= len(want) - 10
+
+
+def test_reachability_forms_agree(spark):
+    edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 3), (5, 6)], "src int, dst int")
+    both = [sorted(map(tuple, f(edges, 0, 5).collect())) for f in (graph.frontier, graph.reachable)]
+    assert both[0] == both[1] == [(0, 0), (1, 1), (2, 2), (3, 3)]
+
+
+def test_greedy_spacing_against_a_loop(spark, small):
+    by_user = {}
+    for r in sorted(spark.read.parquet(f"{small}/events.parquet").collect(), key=lambda r: r.ts):
+        kept = by_user.setdefault(r.user_id, [])
+        if not kept or (r.ts - kept[-1]).total_seconds() >= 86400:
+            kept.append(r.ts)
+    assert {r.user_id: r.n_kept for r in ordered.greedy_spacing(spark, small).collect()} == {u: len(k) for u, k in by_user.items()}
+
+
+def test_bootstrap_brackets_the_mean(spark, sf_dir):
+    r = scores.bootstrap_ci(spark, sf_dir).first()
+    assert r.low <= r.mean <= r.high and r.low < r.high and r.n_events > 5
