@@ -25,13 +25,17 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from freshet.llm.common import words
+from freshet.llm.common import scratch, words
 
 #: Production: domain is the source's number modulo 4, as the corpus has no such column.
 DOMAIN_WEIGHTS = {"d0": 0.4, "d1": 0.2, "d2": 0.2, "d3": 0.2}
 LANG_WEIGHTS = {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}
 
 
+#: Most leaves whose budgets are broadcast.
+BROADCAST_LEAVES = 50_000
+
+
 def domain_of(source: Column) -> Column:
     return F.concat(F.lit("d"), F.regexp_extract(source, r"([0-9]{1,9})$", 1).try_cast("int") % 4)
 
@@ -88,12 +92,15 @@ def mix(
     weights = weights if weights is not None else {"domain": DOMAIN_WEIGHTS, "lang": LANG_WEIGHTS}
     keys = [f"__level_{name}" for name in levels]
     rows = docs.select(F.struct(*carry).alias("__row"), F.col(id_col).alias("__id"), n_tokens(F.col(text_col)).alias("__n"), *(F.coalesce(c.cast("string"), F.lit("(null)")).alias(k) for k, c in zip(keys, levels.values(), strict=True)))
-    leaves = rows.groupBy(*keys).agg(F.sum("__n").alias("tokens"))
+    leaves = scratch(rows.groupBy(*keys).agg(F.sum("__n").alias("tokens")), "leaves")
     total = Window.partitionBy(F.lit(0))
     named = {k: weights.get(name, {}) for k, name in zip(keys, levels, strict=True)}
     spent = budgets(leaves, keys, named, F.sum("tokens").over(total) * share, max_epochs)
     spent = spent.select(*keys, F.col("tokens").alias("__tokens"), F.col("budget").alias("__budget"), F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("int").alias("__full"))
     spent = spent.withColumn("__rest", F.col("__budget") - F.col("__full") * F.col("__tokens"))
+    spent = scratch(spent, "budgets")
+    if spent.count() <= BROADCAST_LEAVES:  # else an ordinary join
+        spent = F.broadcast(spent)
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__full").cast("string"), F.coalesce(F.col("__id").cast("string"), F.lit(""))))
     placed = rows.join(spent, keys).withColumn("__h", order).withColumn("__bucket", F.substring("__h", 1, buckets))
     sums = placed.groupBy(*keys, "__bucket").agg(F.sum("__n").alias("__sum"))
