@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,17 @@ def reachable(edges: DataFrame, start: int, most: int = 50) -> DataFrame:
         ) SELECT node, min(depth) AS depth FROM walk GROUP BY node""")
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage, by a checkpoint in the shared folder; only a local session may go without the setting."""
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="freshet-"))
+    return df.checkpoint()
+
+
 def frontier(edges: DataFrame, start: int, most: int = 50) -> DataFrame:
     """As ``reachable``, for graphs with cycles: each step drops the nodes that were seen."""
     spark = edges.sparkSession
@@ -25,8 +38,8 @@ def frontier(edges: DataFrame, start: int, most: int = 50) -> DataFrame:
     fresh = seen
     for depth in range(1, most + 1):
         found = fresh.join(edges, fresh["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        fresh = found.withColumn("depth", F.lit(depth))
+        fresh = _cut(found.withColumn("depth", F.lit(depth)))
         if fresh.isEmpty():
             break
-        seen = seen.unionByName(fresh)
+        seen = _cut(seen.unionByName(fresh))
     return seen
