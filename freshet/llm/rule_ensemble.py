@@ -31,11 +31,13 @@ from freshet.llm.common import blanked, scratch, words
 def statistics(rows: DataFrame, text: Column) -> tuple[DataFrame, list[str]]:
     """``rows`` with a double for each statistic of the whole text, and their names."""
     whole = F.coalesce(text, F.lit(""))
-    out = rows.withColumn("__text", whole).withColumn("__w", words(whole))
+    # The rare characters, once; classes without lower-case letters and blanks are counted in them.
+    out = rows.withColumn("__text", whole).withColumn("__w", words(whole)).withColumn("__rare", F.regexp_replace(whole, r"[a-z\x20\x09-\x0D]+", ""))
     w, t = F.col("__w"), F.col("__text")
     out = out.withColumn("__n", F.greatest(F.size(w), F.lit(1)).cast("double")).withColumn("__c", F.greatest(F.length(F.replace(blanked(t), F.lit(" "), F.lit(""))), F.lit(1)).cast("double"))
     n, c = F.col("__n"), F.col("__c")
-    held = lambda chars: F.regexp_count(t, F.lit(f"[{chars}]"))
+    held = lambda chars: F.regexp_count(F.col("__rare"), F.lit(f"[{chars}]"))
+    breaks = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
     stats = {
         "log_words": F.log1p(F.size(w)),
         "word_length": c / n,
@@ -46,12 +48,12 @@ def statistics(rows: DataFrame, text: Column) -> tuple[DataFrame, list[str]]:
         "digits": held("0-9") / c,
         "stops": held(".,;:!?") / c,
         "capitals": held("A-Z") / c,
-        "line_words": n / F.greatest(held("\n") + 1, F.lit(1)),
+        "line_words": n / (breaks + 1),
         "short_words": F.size(F.filter(w, lambda x: F.length(x) <= 3)) / n,
         "long_words": F.size(F.filter(w, lambda x: F.length(x) >= 15)) / n,
-        "distinct_lines": F.size(F.array_distinct(F.split(t, "\n"))) / (held("\n") + 1),
+        "distinct_lines": F.size(F.array_distinct(F.split(t, "\n"))) / (breaks + 1),
     }
-    out = out.withColumns({f"s_{k}": F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in stats.items()}).drop("__text", "__w", "__n", "__c")
+    out = out.withColumns({f"s_{k}": F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in stats.items()}).drop("__text", "__w", "__n", "__c", "__rare")
     return out, [f"s_{k}" for k in stats]
 
 
@@ -101,7 +103,8 @@ def fit(labelled: DataFrame, names: list[str], label: str = "label", trees: int
     if not rules:
         return RuleEnsemble(0.0, {})
     held = labelled.select(F.col(label).cast("double").alias(label), *[r.column().cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
-    held = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="features").transform(held)
+    held = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="features").transform(held).select(label, "features")
+    held = scratch(held.coalesce(4), "rule-features")  # at most sample_rows sparse vectors: each step reads them, none weighs the rules anew
     lasso = LogisticRegression(labelCol=label, featuresCol="features", elasticNetParam=1.0, regParam=penalty, maxIter=60, standardization=False).fit(held)
     return RuleEnsemble(float(lasso.intercept), {r: float(w) for r, w in zip(rules, lasso.coefficients.toArray(), strict=True) if w})
 
