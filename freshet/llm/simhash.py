@@ -29,7 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import scratch
+from freshet.llm import shingles
+from freshet.llm.common import only_near, scratch
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -210,10 +211,20 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 4) -> DataFrame:
-    """``docs`` with one row of each group: the first row by id of its component (rows without an id each stay)."""
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width, radius)
-    heads = found.where(F.col("id") == F.col("component_id")).select("id").distinct()
-    packed = docs.select(F.col(id_col).alias("__id"), F.struct("*").alias("__row"))
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """``docs`` with one row of each group: the first row by id of its component (rows without an id each stay).
+
+    Here links are verified: texts equal but for case and spacing, or with a
+    similarity of 4/5 or more (see shingles). A radius of fingerprints would
+    lose most of the edited copies and join some unlike texts.
+    """
+    packed = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.struct("*").alias("__row"))
+    texts = packed.where(F.col("__id").isNotNull()).select(F.col("__id").alias("id"), shingles.text_key(F.col("__text")).alias("key"), F.col("__text").alias("text"))
+    firsts = scratch(texts.groupBy("key").agg(F.min("id").alias("first")), "distinct")
+    # One row a key is enough; more do no harm.
+    some = only_near(texts, F.xxhash64("id", "key"), firsts, F.xxhash64("first", "key"))
+    labels = components(scratch(shingles.edges(some, components, width), "links"))
+    groups = firsts.join(labels, firsts["key"] == labels["node"], "left").select("first", F.coalesce("label", "key").alias("label"))
+    heads = groups.groupBy("label").agg(F.min("first").alias("id")).select("id").distinct()
     kept = packed.join(heads, packed["__id"] == heads["id"], "left_semi").groupBy("__id").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row")).select("__row.*")
     return kept.unionByName(packed.where(F.col("__id").isNull()).select("__row.*"))

@@ -4,8 +4,9 @@ import random
 
 import xxhash
 from helpers import empty_docs, odd_docs, words
+from pyspark.sql import functions as F
 
-from freshet.llm import queries, simhash
+from freshet.llm import queries, shingles, simhash
 
 
 def plain_fingerprint(text, width):
@@ -89,3 +90,51 @@ def test_odd_rows(spark):
     assert kept.columns == odd_docs(spark, clash=True).columns
     ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
     assert ids == [0, 3, 4, 6, 7, 8, 9, 10, 11]
+
+
+def plain_kept(docs, width=5):
+    """The least id of each component of equal texts and of shingle similarity 4/5 or more, by all pairs."""
+    sets = {}
+    for i, text in sorted(docs):
+        w = tuple(words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")))
+        sets.setdefault(w, (i, {w[k : k + width] for k in range(max(1, len(w) - width + 1))} if w else set()))
+    firsts = list(sets.values())
+    up = list(range(len(firsts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, (_, a) in enumerate(firsts):
+        for j, (_, b) in enumerate(firsts[:i]):
+            if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) > 0 and 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((root(i), root(j)))
+                up[y] = x
+    return {firsts[root(i)][0] for i in range(len(firsts))}
+
+
+def test_edited_copies_against_all_pairs(spark, sf_dir):
+    """Edited copies far apart in bits go, unlike texts stay; long lists in small chunks, and the given table."""
+    rng = random.Random(7)
+    vocab = [f"w{i}" for i in range(400)]
+    passage = [rng.choice(vocab) for _ in range(20)]  # in every text: a list of all of them
+    docs = []
+    for _ in range(25):
+        seed = [rng.choice(vocab) for _ in range(rng.randint(20, 150))]
+        for _ in range(6):
+            w = list(seed)
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            docs.append(passage + w)
+    rng.shuffle(docs)
+    docs = [(i, rng.choice([" ", "\n ", "\t"]).join(w).replace("w1", rng.choice(["w1", "W1"]))) for i, w in enumerate(docs)]
+    mine = plain_kept(docs)
+    assert 25 < len(mine) < 120
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one(table).collect()} == mine
+    keyed = table.select(shingles.text_key(F.col("text")).alias("key"), "text")
+    cut = simhash.components(shingles.edges(keyed, simhash.components, chunk=16)).groupBy("label").count().collect()
+    assert sum(r["count"] - 1 for r in cut) == keyed.select("key").distinct().count() - len(mine)
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    assert {r.doc_id for r in simhash.keep_one(given).collect()} == plain_kept([(r.doc_id, r.text) for r in given.collect()])
