@@ -1,8 +1,11 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrames throughout.
 
-A line is its sequence of words (``min_words`` or more; shorter lines are left
-alone). A line goes if an equal line, or one within one word edit (a word
-replaced, added or removed), stands earlier in the order (id, line number).
+A line is its sequence of words. A line of ``exact_words`` or more goes if an
+equal line stands earlier in the order (id, line number), and one of
+``min_words`` or more also if such a line within one word edit (a word
+replaced, added or removed) does. Without ``exact_words`` it is ``min_words``;
+the registered query and the pipeline take 1, so short lines go by equality
+alone. Lines without words stay.
 
 Equal lines are grouped by MD5. For near ones every line would emit itself and
 each variant with one word deleted as hashed keys; lines within one edit share
@@ -40,6 +43,7 @@ def lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, wanted: D
         rows = only_near(rows, F.xxhash64("doc"), wanted, F.xxhash64("doc"))
     spaced = rows.select("doc", "id", single_spaced(F.col("text")).alias("text"))
     each = spaced.select("doc", "id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    each = each.where("line != ''")
     return each.withColumn("n", F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= min_words)
 
 
@@ -109,10 +113,12 @@ def near_lines(source: DataFrame) -> DataFrame:
     return checked.groupBy("lid").agg(F.min("kept").alias("kept"))
 
 
-def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
+def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, exact_words: int | None = None) -> DataFrame:
     """(doc, at, near): every line to remove; near: for an earlier line within one edit, else an equal one."""
+    least = min_words if exact_words is None else min(exact_words, min_words)
     lid, place = F.unhex(F.md5("line")).alias("lid"), F.struct("id", "doc", "at").alias("place")
-    seen = scratch(lines(docs, id_col, text_col, min_words).select(lid, place, half_keys(F.col("line"), F.col("n")).alias("halves")), "line-places")
+    halves_of = F.when(F.col("n") >= min_words, half_keys(F.col("line"), F.col("n"))).otherwise(F.array().cast("array<bigint>"))  # none: equal lines only
+    seen = scratch(lines(docs, id_col, text_col, least).select(lid, place, halves_of.alias("halves")), "line-places")
     classes = scratch(seen.groupBy("lid").agg(F.min("place").alias("first"), F.count("*").alias("c"), F.first("halves").alias("halves")), "lines")
     # A short stand-in for the line id: two lines with the same one only pass the filter together.
     halves = classes.select(F.xxhash64("lid").alias("short"), F.explode("halves").alias("half"))
@@ -128,9 +134,9 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return all_places.where(F.col("near") | (F.col("place") != F.col("first"))).select("place.doc", "place.at", "near").distinct()
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, exact_words: int | None = None) -> DataFrame:
     """(row, n_lines, n_exact, n_near): ``row`` holds the columns of ``docs``, its text without the lines that go."""
-    gone = duplicates(docs, id_col, text_col, min_words).groupBy("doc").agg(F.collect_list("at").alias("gone"), F.count_if(~F.col("near")).alias("n_exact"), F.count_if("near").alias("n_near"))
+    gone = duplicates(docs, id_col, text_col, min_words, exact_words).groupBy("doc").agg(F.collect_list("at").alias("gone"), F.count_if(~F.col("near")).alias("n_exact"), F.count_if("near").alias("n_near"))
     rows = join_few(docs.select(F.struct("*").alias("row"), signature(F.col(id_col), F.col(text_col)).alias("doc")), scratch(gone, "gone"), "doc")
     text = F.col(f"row.{text_col}")
     kept = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
@@ -142,9 +148,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     )
 
 
-def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", min_words: int = 5) -> DataFrame:
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", min_words: int = 5, exact_words: int | None = None) -> DataFrame:
     """``docs`` with the lines removed; ``chars_col``, if there, is set to the new length."""
-    out = dedup(docs, id_col, text_col, min_words).select("row.*")
+    out = dedup(docs, id_col, text_col, min_words, exact_words).select("row.*")
     if chars_col in docs.columns:
         out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
     return out

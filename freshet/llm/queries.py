@@ -37,7 +37,7 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), exact_words=1)
     return out.select("row.doc_id", "row.text", "n_lines", "n_exact", "n_near")
 
 

@@ -132,3 +132,31 @@ def test_lines_odd_rows(spark):
     assert texts[4].startswith("one two") and texts[5] == ""  # row 4 comes twice: the copies are judged alike
     assert all(r.n_chars == len(r.text) for r in rows if r.text is not None)
     assert line_dedup.dedup(empty_docs(spark)).count() == 0
+
+
+def plain_short_dedup(docs, least=5):
+    """As plain_dedup, but equal lines of one word or more go as well."""
+    equal, near, out = set(), [], {}
+    for i, text in sorted(docs):
+        kept = []
+        for line in text.split("\n"):
+            w = words(line)
+            if not w or not (tuple(w) in equal or (len(w) >= least and any(one_edit(w, s) for s in near))):
+                kept.append(line)
+            equal.add(tuple(w))
+            if len(w) >= least:
+                near.append(w)
+        out[i] = "\n".join(kept)
+    return out
+
+
+def test_short_equal_lines_go(spark, small):
+    import corpus_pipeline
+
+    docs = [(0, "Les.\na b\n\na  b\none two three four five"), (1, "Les.\n\n \na c\nb\nOne\none two three four"), (2, "b\nb\n Les. \none two three four six"), (3, "Les.")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    mine = plain_short_dedup(docs)
+    assert mine[0] == "Les.\na b\n\none two three four five" and mine[2] == "" and mine[3] == ""
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, table, "").collect()} == mine
+    given = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    assert {r.doc_id: r.text for r in queries.op5_line_dedup(spark, small).collect()} == plain_short_dedup(given)
