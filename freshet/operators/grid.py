@@ -21,12 +21,21 @@ def block_reduce(cells: DataFrame, keys: Sequence[str], wet: Column, least: int,
     return out.withColumn("fraction", frac).withColumn("label", F.when(F.col("n_valid") >= least, (F.col("n_wet") >= share * F.col("n_valid")).cast("int")))
 
 
-def to_anchors(points: DataFrame, anchors: DataFrame, most: int = 1000) -> DataFrame:
-    """Points with every anchor and the squared distance ``d2``; a stated, small set of anchors, checked before it is broadcast."""
+def to_anchors(points: DataFrame, anchors: DataFrame, block: int = 1000, parts: int = 32) -> DataFrame:
+    """Points with every anchor and the squared distance ``d2``; beyond ``block`` anchors the pairs are dealt out by blocks of anchors and ``parts`` of points.
+
+    Any number of anchors is compared; sums and minima over ``d2`` are combined from each block's partial ones.
+    """
+    sides = anchors.select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("v").alias("av"))
     n = anchors.count()
-    if n > most:
-        raise ValueError(f"{n} anchors; at most {most} can be compared with every point")
-    joined = points.crossJoin(F.broadcast(anchors.select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("v").alias("av"))))
+    if n <= block:
+        joined = points.crossJoin(F.broadcast(sides))
+    else:
+        blocks = -(-n // block)
+        every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+        dealt = sides.withColumn("__block", F.pmod(F.xxhash64("ax", "ay", "av"), F.lit(blocks))).withColumn("__part", every(parts))
+        asked = points.withColumn("__part", F.pmod(F.xxhash64("x", "y"), F.lit(parts))).withColumn("__block", every(blocks))
+        joined = asked.join(dealt, ["__block", "__part"]).drop("__block", "__part")
     return joined.withColumn("d2", (F.col("x") - F.col("ax")) * (F.col("x") - F.col("ax")) + (F.col("y") - F.col("ay")) * (F.col("y") - F.col("ay")))
 
 
