@@ -11,11 +11,15 @@ length is spread over salted groups, so one length may hold any share of the
 rows.
 
 Defined results: a null text is an empty one and packs as its end token alone;
-repeated rows are packed as often as they come; an empty table gives no rows.
+a text of any length is encoded whole and cut into pieces; repeated rows are
+packed as often as they come, and pieces with equal length and key take their
+places in any order; further columns of the input are not looked at; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,54 +31,107 @@ from pyspark.sql import functions as F
 
 from freshet.llm.common import scratch
 
-#: Unicode White_Space: where the byte-level pre-tokeniser may cut.
-SPACE = "\t-\r \x85\xa0  -     　"
+#: Unicode White_Space, where the byte-level pre-tokeniser may cut.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: White space beside white space, and U+2028 and the like: such texts are cut by CHUNK.
+IRREGULAR = re.compile(f"[{SPACE}][{SPACE}]")
+#: The one pre-tokeniser whose cuts are known here.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    A text is cut where the pre-tokeniser always cuts (before the last blank
-    ahead of a word); the tokenizer's ids of each chunk are kept, up to
-    ``keep`` chunks, so a frequent word is encoded once in a task. Strings of
-    the tokenizer's added tokens become those tokens, as in whole texts.
+    A text is cut where a byte-level pre-tokeniser always cuts, and the ids of
+    each chunk are kept, up to ``keep`` of them, so that a frequent word is
+    encoded once in a worker. Where each white space stands alone, that is
+    ahead of every blank and line feed; else before the last blank ahead of a
+    word. Strings of the tokenizer's added tokens become those tokens, as in
+    whole texts. With a normaliser or any other pre-tokeniser texts are encoded
+    whole.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known, self.keep = {}, keep
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        # An added token may take blanks beside it from their chunk, so a text that holds one is a chunk itself.
-        chunks = [[t] if any(a in t for a in self.added) else CHUNK.findall(t) for t in texts]
-        if len(self.known) > self.keep:
-            self.known.clear()
-        new = list({c for found in chunks for c in found} - self.known.keys())
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, found)) for found in chunks]
-
-
-def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end: int = 0) -> DataFrame:
-    """(id, piece, start, length, ids_crc32, ids) of every document; ids: the piece's token ids."""
+        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        cut = json.loads(self.tokenizer.to_str())
+        self.cuts = cut.get("normalizer") is None and BYTE_LEVEL.items() <= (cut.get("pre_tokenizer") or {}).items()
+        plain = [t["content"] for t in cut.get("added_tokens", []) if not (t["single_word"] or t["lstrip"] or t["rstrip"])]
+        self.between = plain[0] if self.cuts and plain else None
+        self.whole: dict[str, bytes] = {}  # ids by chunk
+        self.after: dict[str, bytes] = {}  # ids by chunk without its blank
+        self.keep = keep
+
+    def _ids(self, chunks: list[str]) -> Iterator[bytes]:
+        """The ids of each chunk; with an added token between them, a thousand are encoded as one text."""
+        step = 1000 if self.between else 1
+        texts = [(self.between or "").join(chunks[i : i + step]) for i in range(0, len(chunks), step)]
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(e.ids, dtype="<u4")
+            at = np.flatnonzero(ids == self.added[self.between]).tolist() if self.between else []
+            for lo, hi in zip([0, *(i + 1 for i in at)], [*at, len(ids)], strict=True):
+                yield ids[lo:hi].tobytes()
+
+    def _learn(self, table: dict[str, bytes], new: set[str], blank: str) -> None:
+        chunks = list(new)
+        table.update(zip(chunks, self._ids([c if c[:1] == "\n" else blank + c for c in chunks]), strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        cut, whole, after, odd = [], set(), set(), {}
+        for table in (self.whole, self.after):
+            if len(table) > self.keep:
+                table.clear()
+        for i, t in enumerate(texts):
+            first, rest = [t], []
+            # An added token may take blanks beside it from their chunk.
+            if not self.cuts or any(a in t for a in self.added):
+                odd[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            elif IRREGULAR.search(t):
+                first = CHUNK.findall(t)
+            else:
+                first, *rest = t.replace("\n", " \n").split(" ")
+                first = [first]
+            cut.append((first, rest))
+            if i not in odd:
+                whole |= set(first).difference(self.whole)
+                after |= set(rest).difference(self.after)
+        self._learn(self.whole, whole, "")
+        self._learn(self.after, after, " ")
+        get, get_after = self.whole.__getitem__, self.after.__getitem__
+        return [odd[i] if i in odd else b"".join([*map(get, first), *map(get_after, rest)]) for i, (first, rest) in enumerate(cut)]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This Python worker's encoder: the tokenizer is parsed once, and known chunks last from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end: int = 0, with_ids: bool = True) -> DataFrame:
+    """(id, piece, start, length, ids_crc32, ids) of every document; ids: the piece's token ids, unless ``with_ids`` is False."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     stop = np.array([end], dtype="<u4").tobytes()
+    kinds = {"piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.binary()} if with_ids else {})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-        encoder = Encoder(tokenizer)
+        encode_all = encoder(tokenizer).encode_all
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part, out = b.slice(lo, 256), []
-                for n, ids in enumerate(encoder.encode([t.as_py() or "" for t in part.column("text")])):
+                for n, ids in enumerate(encode_all([t or "" for t in part.column("text").to_pylist()])):
                     ids += stop
                     total = len(ids) // 4
                     size = total % capacity or capacity
@@ -83,12 +140,10 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                         chunk = ids[4 * at : 4 * (at + size)]
                         out.append((n, piece, at, size, zlib.crc32(chunk), chunk))
                         at, piece, size = at + size, piece + 1, capacity
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(pa.array([r[0] for r in out], pa.int64())), *(pa.array([r[i] for r in out], t) for i, t in ((1, pa.int32()), (2, pa.int64()), (3, pa.int64()), (4, pa.int64()), (5, pa.binary())))],
-                    ["id", "piece", "start", "length", "ids_crc32", "ids"],
-                )
+                found = (pa.array([r[i] for r in out], t) for i, t in enumerate(kinds.values(), 1))
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array([r[0] for r in out], pa.int64())), *found], ["id", *kinds])
 
-    return rows.mapInArrow(cut, f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, ids binary")
+    return rows.mapInArrow(cut, f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -213,7 +268,7 @@ def pack(found: DataFrame, capacity: int = 2048, salt_rows: int = 200_000) -> Da
     runs, _ = plan(counts, capacity)
     deal = spark.sparkContext.broadcast(runs)  # as many runs as patterns and residual steps, whatever the number of rows
     salts = max(16, -(-sum(counts.values()) // salt_rows))
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32", "start"), F.lit(salts)))
     by_length = Window.partitionBy("length").orderBy("salt")
     sums = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = sums.withColumn("before", F.sum("n").over(by_length) - F.col("n")).drop("n")
@@ -241,7 +296,7 @@ def pack(found: DataFrame, capacity: int = 2048, salt_rows: int = 200_000) -> Da
 
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048) -> DataFrame:
     """One row per piece: (id, piece, start, length, ids_crc32, sequence_id, offset)."""
-    return pack(scratch(pieces(docs, tokenizer, id_col, text_col, capacity).drop("ids"), "pieces"), capacity)
+    return pack(scratch(pieces(docs, tokenizer, id_col, text_col, capacity, with_ids=False), "pieces"), capacity)
 
 
 def sequences(found: DataFrame, packed: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def test_whole_table(spark, sf_dir, tokenizer):
 def test_odd_texts_encode_as_whole(tokenizer):
     encoder = packing.Encoder(queries.tokenizer_path())
     texts = [t or "" for t in ODD] + ["a  b   c\n\n d\t\te 　 f", "it's they'll 'quoted' I'M", "  lead", "trail  ", "x y    z\x85", "1234567890 a1b2", "\x1c\x1d\x1e\x1f mixed \x1f", "é ñ", "᠎​﻿"]
-    for text, got in zip(texts, encoder.encode(texts), strict=True):
+    for text, got in zip(texts, encoder.encode_all(texts), strict=True):
         assert np.frombuffer(got, dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
