@@ -2,6 +2,48 @@
 
 from __future__ import annotations
 
+from freshet.llm.quality_rules import BOTH_TAILS, GUARDS, MIN_GROUP, SPREAD
+
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_RATES = {
+    "symbol_rate": "10000 * n_symbols // greatest(word_chars, 1)", "dup_line_rate": "10000 * n_dup_lines // greatest(n_lines, 1)",
+    "repeat_rate": "10000 * n_repeat_words // greatest(n_words, 1)", "word_length": "1000 * word_chars // greatest(n_words, 1)",
+}
+
+
+def _quantiles(name: str, keys: str) -> str:
+    """A quantile table of the merged sketches."""
+    by = f"{keys}, " if keys else ""
+    at = ", ".join(f"min(CASE WHEN 100 * cum >= {q} * docs THEN bin END) AS q{q}" for q in (10, 50, 90))
+    return f"""{name} AS (SELECT {by}rate, max(docs) AS docs, {at}
+        FROM (SELECT {by}rate, bin, sum(sum(n)) OVER (PARTITION BY {by}rate ORDER BY bin) AS cum, sum(sum(n)) OVER (PARTITION BY {by}rate) AS docs FROM sketch GROUP BY {by}rate, bin) GROUP BY {by}rate)"""
+
+
+def _quality() -> str:
+    guard = "CASE rate " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in GUARDS.items()) + " END"
+    least, most = f"q10 - {SPREAD} * (q50 - q10) - {guard}", f"q90 + {SPREAD} * (q90 - q50) + {guard}"
+    chosen = lambda end: f"CASE WHEN own.docs >= {MIN_GROUP} THEN own.{end} WHEN ofl.docs >= {MIN_GROUP} THEN ofl.{end} ELSE ofa.{end} END AS {end}"
+    beyond = " OR ".join([f"coalesce({k} > max({k}_most), false)" for k in GUARDS] + [f"coalesce({k} < max({k}_least), false)" for k in BOTH_TAILS]).replace("max(", "(")
+    return rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+    seq AS (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+    tri AS (SELECT rid, i, x, lead(x) OVER s AS y, lead(x, 2) OVER s AS z FROM seq WINDOW s AS (PARTITION BY rid ORDER BY i)),
+    again AS (SELECT rid, i FROM tri WHERE z IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, x, y, z) > 1),
+    rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY 1),
+    l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+    c AS (SELECT rid, doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+        (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines)::BIGINT AS n_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM l LEFT JOIN rep USING (rid)),
+    r AS (SELECT *, {", ".join(f"{v} AS {k}" for k, v in _RATES.items())}, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+    each AS (SELECT lang, source, unnest([{", ".join(f"{{'rate': '{k}', 'v': {k}}}" for k in GUARDS)}]) AS e FROM r WHERE NOT base_failed),
+    sketch AS (SELECT lang, source, e.rate AS rate, (e.v >> greatest(length(bin(e.v)) - 6, 0)) << greatest(length(bin(e.v)) - 6, 0) AS bin, count(*) AS n FROM each GROUP BY ALL),
+    {_quantiles("q_own", "lang, source")}, {_quantiles("q_lang", "lang")}, {_quantiles("q_all", "")},
+    own AS (SELECT *, {least} AS least, {most} AS most FROM q_own), ofl AS (SELECT *, {least} AS least, {most} AS most FROM q_lang), ofa AS (SELECT *, {least} AS least, {most} AS most FROM q_all),
+    ch AS (SELECT own.lang AS lang, own.source AS source, own.rate AS rate, {chosen("least")}, {chosen("most")}
+        FROM own JOIN ofl ON own.lang IS NOT DISTINCT FROM ofl.lang AND own.rate = ofl.rate JOIN ofa ON own.rate = ofa.rate),
+    lim AS (SELECT lang, source, {", ".join(f"max(CASE WHEN rate = '{k}' THEN {e} END) AS {k}_{e}" for k in GUARDS for e in ("least", "most"))} FROM ch GROUP BY ALL)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({beyond}) AS kept
+    FROM r LEFT JOIN lim ON r.lang IS NOT DISTINCT FROM lim.lang AND r.source IS NOT DISTINCT FROM lim.source"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_quality_rules": _quality()}
