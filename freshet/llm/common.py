@@ -31,17 +31,59 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Spark's setting that drops the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage, fixes the rows for every later read, and survives
-    the loss of executors.
+    the loss of executors. Its shuffle files go when it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets the cleaner drop the shuffle files of this write now
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``scratch`` returned; nothing may read them any more."""
+    for table in tables:
+        jvm, context = table.sparkSession._jvm, table.sparkSession.sparkContext
+        path = jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """At most ``n`` rows, one for each of the least values of ``key``, a column of evenly spread longs.
+
+    About twice as many are drawn by a threshold first, so that no task sorts
+    or takes in more; rows that share a key cannot crowd out the others.
+    """
+    distinct = rows.agg(F.approx_count_distinct(key)).first()[0]
+    share = min(1.0, 2.0 * n / max(1, distinct))
+    if share < 1:
+        rows = rows.where(F.col(key) < int((2 * share - 1) * (1 << 63)))
+    return rows.dropDuplicates([key]).orderBy(key).limit(n)
+
+
+def join_hot(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """The inner join of ``rows`` (a written table) and ``few`` (one row a key) on ``key``.
+
+    Keys that hold more than a thousandth of the rows, a thousand at most, are
+    broadcast, so that no task gets all rows of a hot one.
+    """
+    hot = rows.groupBy(key).count().where(F.col("count") * 1000 > rows.count()).select(key)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(hot.collect(), hot.schema))
+    return rows.join(F.broadcast(few.join(hot, key)), key).unionByName(rows.join(hot, key, "left_anti").join(few, key))
 
 
 #: Most rows of a broadcast filter: one long each.
