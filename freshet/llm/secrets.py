@@ -8,8 +8,10 @@ leave the executors. A token of ``min_length`` or more characters outside the
 fixed patterns' spans becomes a ``markov`` span when its log-likelihood ratio
 reaches ``min_ratio`` nats per character.
 
-Defined results: a null text is an empty one and has no spans; ids are carried
-as they are, null or repeated. An empty table gives no rows and the models of
+Defined results: a null text is an empty one and has no spans; a text of any
+length is scanned whole, in one row; spans that begin at one place stand in the
+order of the kinds; ids are carried as they are, null or repeated, and other
+columns are not looked at. An empty table gives no rows and the models of
 the seed lists.
 """
 
@@ -27,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from freshet.llm.common import bounded_sample
+
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 INDEX = {c: i for i, c in enumerate(ALPHABET)}
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -99,9 +103,9 @@ class SecretModel:
         return base, sorted(base + added)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 4000, min_length: int = 20, min_ratio: float = 1.0) -> SecretModel:
-    rows = docs.select(F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h")).where("text IS NOT NULL")
-    sample = rows.orderBy("h").limit(sample_docs).select("text")
+def fit(docs: DataFrame, text_col: str = "text", sample_docs: int = 4000, min_length: int = 20, min_ratio: float = 1.0) -> SecretModel:
+    rows = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).where("text IS NOT NULL")
+    sample = bounded_sample(rows, "h", sample_docs).select("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = (Counter(), Counter())
@@ -129,26 +133,30 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{z}" for a, k, z in spans)
 
 
-def scan(docs: DataFrame, model: SecretModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_assign, n_access, n_hex, n_markov, base_sha256, spans, redacted) for each row; redacted: the text with spans masked."""
+def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with the spans as asterisks."""
+    clear, at = [], 0
+    for a, _, z in spans:
+        clear += [text[at:a], "*" * max(0, z - max(a, at))]
+        at = max(at, z)
+    return "".join([*clear, text[at:]])
+
+
+def scan(docs: DataFrame, model: SecretModel, id_col: str = "doc_id", text_col: str = "text", redact: bool = False) -> DataFrame:
+    """(id, n_assign, n_access, n_hex, n_markov, base_sha256, spans) for each row; with ``redact`` also redacted: a text that has spans with them masked."""
+    kinds = {"n_assign": pa.int64(), "n_access": pa.int64(), "n_hex": pa.int64(), "n_markov": pa.int64(), "base_sha256": pa.string(), "spans": pa.string()} | ({"redacted": pa.string()} if redact else {})
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[tuple] = []
             for t in b.column("text"):
                 text = t.as_py() or ""
                 base, spans = model.spans(text)
-                kinds = Counter(k for _, k, _ in spans)
-                clear, at = [], 0
-                for a, _, z in spans:
-                    clear += [text[at:a], "*" * max(0, z - max(a, at))]
-                    at = max(at, z)
-                row = (*(kinds[k] for k in range(4)), hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans), "".join([*clear, text[at:]]) if spans else None)
-                for column, x in zip(out, row, strict=True):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(x, pa.int64()) for x in out[:4]), *(pa.array(x, pa.string()) for x in out[4:])], ["id", "n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans", "redacted"])
+                n = Counter(k for _, k, _ in spans)
+                row = (*(n[k] for k in range(4)), hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans))
+                out.append((*row, masked(text, spans) if spans else None) if redact else row)
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds.values()))], ["id", *kinds])
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(find, f"id {kind}, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string, redacted string")
-    return found
+    return rows.mapInArrow(find, f"id {kind}, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string" + ", redacted string" * redact)
