@@ -7,10 +7,12 @@ rules and drops most, and what is left is compiled into one Spark column
 expression, which scores whole texts without Python.
 
 The forest and the weights are fitted on at most ``sample_rows`` labelled rows
-(the least by a hash of the id).
+(the least by a hash of id and label).
 
 Defined results: null and blank texts have all statistics zero and are scored
-like any other; labels that are null or whose document is missing are not
+like any other; a text of any length is counted whole; equal labels of one id
+count once, different ones are learnt from both, and so are all documents of a
+repeated id; other columns are not looked at; labels that are null or whose document is missing are not
 learnt from; with no labelled row every score is 0.5, with labels of one class
 only it is 0.99 or 0.01. An empty table gives no rows.
 """
@@ -25,7 +27,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import blanked, scratch, words
+from freshet.llm.common import blanked, bounded_sample, scratch, words
 
 
 def statistics(rows: DataFrame, text: Column) -> tuple[DataFrame, list[str]]:
@@ -112,7 +114,7 @@ def fit(labelled: DataFrame, names: list[str], label: str = "label", trees: int
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 20_000, **options) -> tuple[RuleEnsemble, list[str]]:
     """An ensemble of at most ``sample_rows`` labels where ``learn`` (over the labels' ``id_col``) holds."""
     usable = labels.where(learn & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    chosen = usable.orderBy(F.xxhash64("id"), "id", "label").limit(sample_rows)
+    chosen = bounded_sample(usable.withColumn("h", F.xxhash64("id", "label")), "h", sample_rows).drop("h")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most sample_rows rows
     stats, names = statistics(texts.repartition(12), F.col("text"))
     return fit(scratch(stats.select("label", *names), "labelled"), names, **options), names
