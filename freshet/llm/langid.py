@@ -6,11 +6,14 @@ A whole text's margins are decoded by weighted loss: a bit counts for a
 language as much as its classifier was right on that language in training.
 The nearest codeword wins; a runner-up within ``margin`` flags ambiguity.
 
-The classifiers are fitted on at most ``sample_rows`` labelled rows, spread
-evenly over the languages; n-gram counts come from whole texts.
+The classifiers are fitted on at most ``sample_rows`` different labelled
+texts, spread evenly over the ``max_langs`` most frequent languages; n-gram
+counts come from whole texts.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
-so is every text if there is no labelled row. With one language all others are
+so is every text if there is no labelled row. A text of any length is read
+whole; of equally near codewords the first language by name wins; repeated
+rows are judged alike, and copies of a text are learnt from once. With one language all others are
 that language with score 1. Ids are carried as they are; an empty table gives
 no rows.
 """
@@ -93,18 +96,21 @@ class LanguageModel:
         return self.langs[order[0]], float(p[order[0]] / p.sum()), bool(loss[order[1]] - loss[order[0]] < self.margin)
 
 
-def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", sample_rows: int = 4000, margin: float = 0.2) -> LanguageModel:
+def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", sample_rows: int = 4000, max_langs: int = 1000, margin: float = 0.2) -> LanguageModel:
     """A model of at most ``sample_rows`` rows where ``learn`` holds and text and language are not null."""
     rows = docs.where(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = dict(rows.groupBy("lang").count().collect())  # one number a language
+    rows = rows.withColumn("h", F.xxhash64("lang", "text"))
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts")).orderBy(F.col("n").desc(), "lang").limit(max_langs)
+    counts = {r.lang: r.texts for r in found.collect()}  # one number a language
     langs = sorted(counts)
     if not langs:
         return LanguageModel.fit([], np.zeros(0, int), np.zeros((0, BINS), np.float32), margin)
     each = max(1, sample_rows // len(langs))
-    # A hash of the text draws about twice what is needed, so that only these rows are sorted.
-    drawn = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, 2 * each / counts[lang]))])[F.col("lang")]
-    rows = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 30))).where(F.col("h") < drawn * (1 << 30))
-    by = Window.partitionBy("lang").orderBy("h", "text")
+    # Different texts are drawn, about twice as many as needed, so that only these are sorted and copies crowd out nothing.
+    least = {lang: min((1 << 63) - 1, int((4.0 * each / max(1, counts[lang]) - 1) * (1 << 63))) for lang in langs}
+    drawn = F.create_map(*[F.lit(x) for kv in least.items() for x in kv])[F.col("lang")]
+    rows = rows.where(F.col("h") <= drawn).dropDuplicates(["lang", "h"])
+    by = Window.partitionBy("lang").orderBy("h")
     sample = rows.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= each).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
