@@ -10,15 +10,16 @@ alone. Lines without words stay.
 Equal lines are grouped by MD5. For near ones every line would emit itself and
 each variant with one word deleted as hashed keys; lines within one edit share
 such a key. First, an exact filter: of two lines within one edit, either the
-first or the second half is equal (pigeonhole), so only lines that share a
-half with another emit variants. Keys are position-wise XOR hashes, so all
+first or the last words are equal (pigeonhole), so only lines that share such
+a half with another emit variants. Keys are position-wise XOR hashes, so all
 variants of a line come from two running XORs and long lines stay linear.
 Per key only the earliest line is kept and joined back, never all pairs of a
 group; equal variants at one position are one replacement apart, a variant
 equal to a whole line one deletion apart, and the words themselves verify it.
 
 Defined results: a null text stays null and an empty one empty; a text whose
-lines all go becomes empty, its row stays. Rows with one id and equal text are
+lines all go becomes empty, its row stays; texts and lines of any length are
+taken whole. Rows with one id and equal text are
 judged alike, so that repeated rows don't remove each other's lines. Ties
 cannot occur otherwise. An empty table gives no rows.
 """
@@ -28,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from freshet.llm.common import join_few, only_near, scratch
+from freshet.llm.common import discard, join_few, only_near, scratch
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, wanted: DataFrame | None = None) -> DataFrame:
@@ -62,15 +63,17 @@ def signature(doc_id: Column, text: Column) -> Column:
 
 
 def half_keys(line: Column, n: Column) -> Column:
-    """Hashes of halves such that lines within one edit share at least one.
+    """Hashes of the first and last words such that lines within one edit share at least one.
 
-    With n words: prefixes of n//2 and (n-1)//2, suffixes of n-(n//2),
-    n-((n-1)//2) and n+1-(n//2) words.
+    Lines of n and n or n + 1 words share the size n//2, rounded down to a
+    multiple of four from four on; one edit cannot touch both the first and
+    the last so many. A line takes its own size and that of n - 1 words.
     """
-    half, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    head = lambda size: F.xxhash64(F.lit("head"), F.call_function("substring_index", line, F.lit(" "), size))
-    tail = lambda size: F.xxhash64(F.lit("tail"), F.call_function("substring_index", line, F.lit(" "), -size))
-    return F.array_distinct(F.array(head(half), head(less), tail(n - half), tail(n - less), tail(n + 1 - half)))
+    round_down = lambda k: F.when(k < 4, k).otherwise(k - k % 4)
+    half, less = round_down(F.floor(n / 2).cast("int")), round_down(F.floor((n - 1) / 2).cast("int"))
+    head = lambda size: F.xxhash64(F.lit("head"), size, F.call_function("substring_index", line, F.lit(" "), size))
+    tail = lambda size: F.xxhash64(F.lit("tail"), size, F.call_function("substring_index", line, F.lit(" "), -size))
+    return F.when(half == less, F.array(head(half), tail(half))).otherwise(F.array(head(half), tail(half), head(less), tail(less)))
 
 
 def variants(lined: DataFrame) -> DataFrame:
@@ -96,7 +99,7 @@ def without(w: Column, at: Column) -> Column:
 
 def near_lines(source: DataFrame) -> DataFrame:
     """(lid, kept): lines of ``source`` (lid, first, line) with an earlier line within one edit, and the earliest such."""
-    v = scratch(variants(source), "variants")
+    v_all = v = scratch(variants(source), "variants")
     keys = scratch(v.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "keys")
     v = only_near(v, F.col("key"), keys, F.col("key"))
     mine = F.struct("first", "lid", "at")
@@ -106,11 +109,15 @@ def near_lines(source: DataFrame) -> DataFrame:
     best = F.when(F.col("at") == 0, F.col("parts")).otherwise(F.least("least", "wholes"))
     shared = scratch(shared.select("key", "at", best.alias("best")), "shared")
     found = v.join(shared, ["key", "at"]).where("best.first < first")
-    pairs = found.select("lid", "at", F.col("best.lid").alias("other"), F.col("best.at").alias("other_at"), F.col("best.first").alias("kept")).distinct()
+    pairs = found.select("lid", F.col("best.lid").alias("other"), F.struct("at", F.col("best.at").alias("other_at")).alias("p"), F.col("best.first").alias("kept"))
+    # One place is enough to verify two lines, however many give the same variant: each pair's words move once.
+    pairs = pairs.groupBy("lid", "other", "kept").agg(F.min("p").alias("p")).select("lid", "other", "kept", "p.at", "p.other_at")
     w = source.select("lid", F.split("line", " ").alias("w"))
     checked = pairs.join(w, "lid").join(w.select(F.col("lid").alias("other"), F.col("w").alias("other_w")), "other")
     checked = checked.where(without(F.col("w"), F.col("at")) == without(F.col("other_w"), F.col("other_at")))
-    return checked.groupBy("lid").agg(F.min("kept").alias("kept"))
+    near = scratch(checked.groupBy("lid").agg(F.min("kept").alias("kept")), "near")
+    discard(v_all, keys, shared)
+    return near
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, exact_words: int | None = None) -> DataFrame:
@@ -130,6 +137,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = scratch(words_of.groupBy("lid").agg(F.first("first").alias("first"), F.first("line").alias("line")), "near-lines")  # repeated rows: once
     near = near_lines(source)
     judged = scratch(classes.join(near, "lid", "left").where("c > 1 OR kept IS NOT NULL").select("lid", "first", F.col("kept").isNotNull().alias("near")), "judged")
+    discard(classes, common, close, wanted, source, near)
     all_places = only_near(seen.select("lid", "place"), F.xxhash64("lid"), judged, F.xxhash64("lid")).join(judged, "lid")
     return all_places.where(F.col("near") | (F.col("place") != F.col("first"))).select("place.doc", "place.at", "near").distinct()
 
