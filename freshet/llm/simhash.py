@@ -13,7 +13,8 @@ never all pairs; components come from repeated minimum labels with pointer
 jumping, all in DataFrames.
 
 Defined results: a null or blank text has the fingerprint zero and links like
-any other; a null id is ignored in ``component_id`` unless its component has
+any other; a text of any length is read whole; equal fingerprints are one
+value, however many rows hold it; a null id is ignored in ``component_id`` unless its component has
 no other. Repeated rows are returned as often as they come. An empty table
 gives no rows.
 """
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm import shingles
-from freshet.llm.common import only_near, scratch
+from freshet.llm.common import discard, join_hot, only_near, scratch
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -185,14 +186,17 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = scratch(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = scratch(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+    written = labels
     while True:
-        heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("heard"))
-        lower = labels.join(heard, labels["node"] == heard["a"], "left").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        up = labels.select(F.col("node").alias("up"), F.col("label").alias("jump"))
-        new = scratch(lower.join(up, F.col("label") == F.col("up"), "left").select("node", "old", F.least("label", "jump").alias("label")), "labels")
+        heard = join_hot(both, labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("heard"))
+        lower = scratch(labels.join(heard, labels["node"] == heard["a"], "left").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label")), "lower")
+        up = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))  # every label is a node
+        new = scratch(join_hot(lower, up, "label").select("node", "old", F.least("label", "jump").alias("label")), "labels")
         changed = new.where("label != old").limit(1).count()
-        labels = new.select("node", "label")
+        discard(lower, written)
+        written, labels = new, new.select("node", "label")
         if not changed:
+            discard(both)
             return labels
 
 
@@ -204,7 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = least.join(labels, least["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     heads = groups.groupBy("label").agg(F.min("first").alias("component_id"))
     by_fp = groups.join(heads, "label").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("id", "fp", "component_id")
+    return join_hot(marked, scratch(by_fp, "by-fingerprint"), "fp").select("id", "fp", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -212,19 +216,19 @@ def hex_digits(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """``docs`` with one row of each group: the first row by id of its component (rows without an id each stay).
+    """``docs`` with one row of each group: the first by id, then key, of its component (rows without an id each stay; of rows with one id and key, the first by a hash).
 
     Here links are verified: texts equal but for case and spacing, or with a
     similarity of 4/5 or more (see shingles). A radius of fingerprints would
     lose most of the edited copies and join some unlike texts.
     """
-    packed = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.struct("*").alias("__row"))
-    texts = packed.where(F.col("__id").isNotNull()).select(F.col("__id").alias("id"), shingles.text_key(F.col("__text")).alias("key"), F.col("__text").alias("text"))
+    packed = docs.select(F.col(id_col).alias("__id"), shingles.text_key(F.col(text_col)).alias("__key"), F.col(text_col).alias("__text"), F.struct("*").alias("__row"))
+    texts = packed.where(F.col("__id").isNotNull()).select(F.col("__id").alias("id"), F.col("__key").alias("key"), F.col("__text").alias("text"))
     firsts = scratch(texts.groupBy("key").agg(F.min("id").alias("first")), "distinct")
     # One row a key is enough; more do no harm.
     some = only_near(texts, F.xxhash64("id", "key"), firsts, F.xxhash64("first", "key"))
     labels = components(scratch(shingles.edges(some, components, width), "links"))
-    groups = firsts.join(labels, firsts["key"] == labels["node"], "left").select("first", F.coalesce("label", "key").alias("label"))
-    heads = groups.groupBy("label").agg(F.min("first").alias("id")).select("id").distinct()
-    kept = packed.join(heads, packed["__id"] == heads["id"], "left_semi").groupBy("__id").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row")).select("__row.*")
+    groups = firsts.join(labels, firsts["key"] == labels["node"], "left").select("first", "key", F.coalesce("label", "key").alias("label"))
+    heads = scratch(groups.groupBy("label").agg(F.min(F.struct("first", "key")).alias("head")).select(F.col("head.first").alias("__id"), F.col("head.key").alias("__key")), "heads")
+    kept = packed.select("__id", "__key", "__row").join(heads, ["__id", "__key"]).groupBy("__id", "__key").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row")).select("__row.*")
     return kept.unionByName(packed.where(F.col("__id").isNull()).select("__row.*"))
