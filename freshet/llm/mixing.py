@@ -9,18 +9,25 @@ full. A leaf's budget is spent on whole epochs and then on the token prefix of
 one more, in an order seeded by (seed, epoch, id): the documents that begin
 before the budget is spent.
 
-Leaves may hold any share of the rows: prefix sums go by leaf and hash bucket,
-so no window spans a whole leaf.
+Tokens are counted once, into a slim table of leaf, order keys and count. A
+leaf's prefix comes down to one key: its buckets' sums (4096 at most) say in
+which bucket the prefix ends, and only that bucket's rows are put in order.
+Rows are then taken by comparing with their leaf's last key, so neither texts
+nor a whole leaf go through a shuffle or a window.
 
 Defined results: a null level value is a node of its own, named ``(null)``; a
-null or blank text has no tokens, and is taken with the epochs that its place
-falls in; repeated rows are separate documents; a weight of zero excludes its
-subtree; an empty table gives no rows.
+node that its level's weight table does not list has the least weight listed
+there, and 1 where there is no table; a null or blank text has no tokens, and
+is taken with the epochs that its place falls in; a text of any length is
+counted whole; rows without an id are ordered by their text; rows with equal
+id and text are separate documents that begin at one place, so they are taken
+together; a weight of zero excludes its subtree; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,7 +71,7 @@ def budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapp
     for depth in range(1, len(levels) + 1):
         own, up = list(levels[:depth]), list(levels[: depth - 1])
         table = weights.get(levels[depth - 1], {})
-        weight = F.lit(1.0) if not table else F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.col(levels[depth - 1])], F.lit(1.0))
+        weight = F.lit(1.0) if not table else F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.col(levels[depth - 1])], F.lit(min(table.values())))
         nodes = known.groupBy(*own).agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens")).withColumn("weight", weight.cast("double")).withColumn("name", F.col(levels[depth - 1]))
         if above is None:
             nodes = nodes.withColumn("top", F.lit(0)).withColumn("budget", budget)
@@ -77,42 +84,84 @@ def budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapp
     return above.withColumn("budget", F.floor(F.col("budget") + 1e-6).cast("long"))
 
 
-def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: Mapping[str, Column] | None = None,
-    weights: Mapping[str, Mapping[str, float]] | None = None, share: float = 0.75, max_epochs: int = 4, seed: int = 1, buckets: int = 3,
-    carry: Sequence[str] = ("*",),
-) -> DataFrame:
-    """Rows of ``docs`` that the mixture takes, packed: (row, level columns, n_tokens, leaf_tokens, leaf_budget, epochs).
+class Mixture(NamedTuple):
+    """What to take, and in which seeded order."""
 
-    The budget is ``share`` of the corpus's tokens; ``epochs`` says how often
-    the row is taken. ``buckets``: hash digits that split a leaf (16 each).
-    ``carry``: the columns of ``docs`` that ``row`` holds.
-    """
+    levels: Mapping[str, Column]
+    weights: Mapping[str, Mapping[str, float]]
+    share: float = 0.75  #: of the corpus's tokens
+    max_epochs: int = 4
+    seed: int = 1
+    buckets: int = 3  #: hash digits that split a leaf, 16 each
+
+    @property
+    def keys(self) -> list[str]:
+        return [f"__level_{name}" for name in self.levels]
+
+
+def mixture(levels: Mapping[str, Column] | None = None, weights: Mapping[str, Mapping[str, float]] | None = None, **options) -> Mixture:
+    """A mixture; by default of production."""
     levels = levels or {"domain": domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
-    weights = weights if weights is not None else {"domain": DOMAIN_WEIGHTS, "lang": LANG_WEIGHTS}
-    keys = [f"__level_{name}" for name in levels]
-    rows = docs.select(F.struct(*carry).alias("__row"), F.col(id_col).alias("__id"), n_tokens(F.col(text_col)).alias("__n"), *(F.coalesce(c.cast("string"), F.lit("(null)")).alias(k) for k, c in zip(keys, levels.values(), strict=True)))
-    leaves = scratch(rows.groupBy(*keys).agg(F.sum("__n").alias("tokens")), "leaves")
-    total = Window.partitionBy(F.lit(0))
-    named = {k: weights.get(name, {}) for k, name in zip(keys, levels, strict=True)}
-    spent = budgets(leaves, keys, named, F.sum("tokens").over(total) * share, max_epochs)
-    spent = spent.select(*keys, F.col("tokens").alias("__tokens"), F.col("budget").alias("__budget"), F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("int").alias("__full"))
-    spent = spent.withColumn("__rest", F.col("__budget") - F.col("__full") * F.col("__tokens"))
-    spent = scratch(spent, "budgets")
-    if spent.count() <= BROADCAST_LEAVES:  # else an ordinary join
-        spent = F.broadcast(spent)
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__full").cast("string"), F.coalesce(F.col("__id").cast("string"), F.lit(""))))
-    placed = rows.join(spent, keys).withColumn("__h", order).withColumn("__bucket", F.substring("__h", 1, buckets))
-    sums = placed.groupBy(*keys, "__bucket").agg(F.sum("__n").alias("__sum"))
-    before = sums.withColumn("__before", F.sum("__sum").over(Window.partitionBy(*keys).orderBy("__bucket")) - F.col("__sum")).drop("__sum")
-    within = Window.partitionBy(*keys, "__bucket").orderBy("__h", "__n").rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("__within", F.sum("__n").over(within) - F.col("__n")).join(before, [*keys, "__bucket"])
-    partial = (F.col("__before") + F.col("__within") < F.col("__rest")).cast("int")
-    taken = placed.withColumn("epochs", F.col("__full") + partial).where("epochs > 0")
-    return taken.select(F.col("__row").alias("row"), *(F.col(k).alias(name) for k, name in zip(keys, levels, strict=True)), F.col("__n").alias("n_tokens"), F.col("__tokens").alias("leaf_tokens"), F.col("__budget").alias("leaf_budget"), "epochs")
-
-
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    return Mixture(levels, {"domain": DOMAIN_WEIGHTS, "lang": LANG_WEIGHTS} if weights is None else weights, **options)
+
+
+def keyed(docs: DataFrame, m: Mixture, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """(leaf, __id, __t, more): the leaf's level values and what orders a row in it."""
+    text = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    named = [F.coalesce(c.cast("string"), F.lit("(null)")).alias(k) for k, c in zip(m.keys, m.levels.values(), strict=True)]
+    return docs.select(*named, F.coalesce(F.col(id_col).cast("string"), text).alias("__id"), text.alias("__t"), *more)
+
+
+def place(m: Mixture) -> Column:
+    """The seeded order of a row in its leaf, over ``__full``, ``__id`` and ``__t``."""
+    return F.concat(F.md5(F.concat_ws(":", F.lit(str(m.seed)), F.col("__full").cast("string"), F.col("__id"))), F.col("__t"))
+
+
+def few_leaves(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_LEAVES else table  # else an ordinary join
+
+
+def cuts(slim: DataFrame, m: Mixture) -> DataFrame:
+    """(leaf, __tokens, __budget, __full, __cut): whole epochs, and the last place of the prefix of one more (null: none)."""
+    keys = m.keys
+    leaves = scratch(slim.groupBy(*keys).agg(F.sum("__n").alias("tokens")), "leaves")
+    total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    named = {k: m.weights.get(name, {}) for k, name in zip(keys, m.levels, strict=True)}
+    spent = budgets(leaves, keys, named, F.lit(total * m.share), m.max_epochs)
+    full = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("int")
+    spent = spent.select(*keys, F.col("tokens").alias("__tokens"), F.col("budget").alias("__budget"), full.alias("__full"))
+    spent = scratch(spent.withColumn("__rest", F.col("__budget") - F.col("__full") * F.col("__tokens")), "budgets")
+    placed = slim.join(few_leaves(spent.where("__rest > 0").select(*keys, "__full", "__rest")), keys).withColumn("__h", place(m)).withColumn("__bucket", F.substring("__h", 1, m.buckets))
+    sums = placed.groupBy(*keys, "__rest", "__bucket").agg(F.sum("__n").alias("__sum"))
+    up = Window.partitionBy(*keys)
+    begun = sums.withColumn("__before", F.sum("__sum").over(up.orderBy("__bucket")) - F.col("__sum")).where("__before < __rest")
+    ends = scratch(begun.groupBy(*keys).agg(F.max(F.struct("__bucket", "__before")).alias("e")).select(*keys, "e.*"), "ends")
+    inside = placed.join(few_leaves(ends), [*keys, "__bucket"]).groupBy(*keys, "__rest", "__before", "__h").agg(F.sum("__n").alias("__sum"))
+    within = F.col("__before") + F.sum("__sum").over(up.orderBy("__h")) - F.col("__sum")
+    last = inside.withColumn("__at", within).where("__at < __rest").groupBy(*keys).agg(F.max("__h").alias("__cut"))
+    return scratch(spent.join(last, keys, "left").drop("__rest"), "cuts")
+
+
+def taken(rows: DataFrame, cut: DataFrame, m: Mixture) -> DataFrame:
+    """``rows`` (of ``keyed``) that the mixture takes, with ``epochs``."""
+    placed = rows.join(few_leaves(cut), m.keys)
+    return placed.withColumn("epochs", F.col("__full") + F.coalesce((place(m) <= F.col("__cut")).cast("int"), F.lit(0))).where("epochs > 0")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ("doc_id",), **options) -> DataFrame:
+    """What the mixture takes: (row, level columns, n_tokens, leaf_tokens, leaf_budget, epochs); ``row`` holds the columns in ``carry``.
+
+    ``epochs`` says how often the row is taken; ``options`` are those of ``mixture``.
+    """
+    m = mixture(**options)
+    slim = scratch(keyed(docs, m, id_col, text_col, n_tokens(F.col(text_col)).alias("__n"), F.struct(*carry).alias("row")), "slim")
+    found = taken(slim, cuts(slim.drop("row"), m), m)
+    return found.select("row", *(F.col(k).alias(name) for k, name in zip(m.keys, m.levels, strict=True)), F.col("__n").alias("n_tokens"), F.col("__tokens").alias("leaf_tokens"), F.col("__budget").alias("leaf_budget"), "epochs")
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` in the mixture's proportions: each row as often as it is taken."""
-    taken = mix(docs, **options)
-    return taken.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("epochs")))).select("row.*")
+    m = mixture(**options)
+    cut = cuts(scratch(keyed(docs, m, id_col, text_col, n_tokens(F.col(text_col)).alias("__n")), "slim"), m)
+    found = taken(keyed(docs, m, id_col, text_col, F.struct("*").alias("__row")), cut, m)
+    return found.select("__row", F.explode(F.sequence(F.lit(1), F.col("epochs")))).select("__row.*")
