@@ -7,7 +7,7 @@ entries are reranked by exact cosine in double precision.
 
 The codebooks are fitted on a bounded sample (``sample_rows``); every row is
 indexed. How many entries a walk must pass is measured on that sample too: the
-share of its rows that reaches ``target_recall`` there. Data with structure
+share of its rows that reaches ``target_recall`` there (0.95, as the sample errs). Data with structure
 get short walks, data without get long ones.
 
 Defined results: vectors that are null, zero, of another length than most of
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from freshet.llm.common import scratch
+from freshet.llm.common import bounded_sample, scratch
 
 
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
@@ -120,16 +120,21 @@ def valid(vec_id: Column, embedding: Column) -> Column:
 
 def nearest(
     vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5,
-    centroids: int = 32, sample_rows: int = 8192, target_recall: float = 0.97, shard_rows: int = 16384,
+    centroids: int | None = None, sample_rows: int = 8192, target_recall: float = 0.95, shard_rows: int = 16384,
     query_block: int = 65536, seed: int = 7,
 ) -> DataFrame:
-    """The ``k`` nearest rows of each row that satisfies ``queries`` (an expression over ``id_col``)."""
+    """The ``k`` nearest rows of each row that satisfies ``queries`` (an expression over ``id_col``).
+
+    ``centroids`` of a half: by default four times the fourth root of the rows, 16 to 512.
+    """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), queries.alias("asked")).where(valid(F.col("id"), F.col("v")))
-    sample = rows.select("v").orderBy(F.xxhash64("id"), "id").limit(sample_rows).toArrow()["v"].to_pylist()
+    sample = bounded_sample(rows.select("v", F.xxhash64("id", "v").alias("h")), "h", sample_rows).select("v").toArrow()["v"].to_pylist()
     if not sample:
         return spark.createDataFrame([], schema)
+    if centroids is None:
+        centroids = min(512, max(16, round(4 * rows.count() ** 0.25)))
     lengths = [len(v) for v in sample]
     dim = max(set(lengths), key=lambda n: (lengths.count(n), n))
     index = MultiIndex.fit(np.array([v for v in sample if len(v) == dim], dtype=np.float64), centroids, k, target_recall, seed)
@@ -143,9 +148,9 @@ def nearest(
     entries = scratch(rows.mapInArrow(assign, f"id long, v {rows.schema['v'].dataType.simpleString()}, asked boolean, cell int"), "multi-index")
     # One count per cell: at most centroids squared numbers, whatever the number of rows.
     counts = np.zeros(index.cells, dtype=np.int64)
-    asked = 0
+    asked = np.zeros(index.cells, dtype=np.int64)
     for cell, n, q in entries.groupBy("cell").agg(F.count("*"), F.count_if("asked")).collect():
-        counts[cell], asked = n, asked + q
+        counts[cell], asked[cell] = n, q
     # Cells share a shard until it is full; a cell beyond a shard's size is split over several.
     base, parts, at, room = np.zeros(index.cells, dtype=np.int64), np.ones(index.cells, dtype=np.int64), 0, shard_rows
     for cell, n in enumerate(counts.tolist()):
@@ -153,11 +158,13 @@ def nearest(
             at, room = at + 1, shard_rows
         base[cell], parts[cell] = at, -(-max(n, 1) // shard_rows)
         at, room = (at + int(parts[cell]), shard_rows) if n > shard_rows else (at, room - n)
-    enough, blocks = max(k + 1, index.share * counts.sum()), -(-max(asked, 1) // query_block)
-    deal = spark.sparkContext.broadcast((base, parts, counts))
+    enough = max(k + 1, index.share * counts.sum())
+    # Queries of near cells share a block, so that a block asks for few cells; a cell of more queries than a block has several.
+    block_of, blocks_of = (np.cumsum(asked) - asked) // query_block, -(-np.maximum(asked, 1) // query_block)
+    deal = spark.sparkContext.broadcast((base, parts, counts, block_of, blocks_of))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, parts, counts = deal.value
+        base, parts, counts, block_of, blocks_of = deal.value
         for b in batches:
             if not b.num_rows:
                 continue
@@ -167,19 +174,22 @@ def nearest(
                 for cell in walk(d1[i], d2[i], counts, enough):
                     for s in range(int(base[cell]), int(base[cell] + parts[cell])):
                         by_shard.setdefault(s, []).append(cell)
-                n = len(by_shard)
+                n, q, own = len(by_shard), b.column("id")[i].as_py(), b.column("own")[i].as_py()
+                block = int(block_of[own]) + q % int(blocks_of[own])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b.column("id")[i].as_py()] * n, pa.int64()), pa.array([b.column("v")[i].as_py()] * n, b.column("v").type), pa.array(list(by_shard), pa.int64()), pa.array(list(by_shard.values()), pa.list_(pa.int32()))],
-                    ["id", "v", "shard", "cells"],
+                    [pa.array([q] * n, pa.int64()), pa.array([b.column("v")[i].as_py()] * n, b.column("v").type), pa.array(list(by_shard), pa.int64()), pa.array(list(by_shard.values()), pa.list_(pa.int32())), pa.array([block] * n, pa.int64())],
+                    ["id", "v", "shard", "cells", "block"],
                 )
 
     kind = rows.schema["v"].dataType.simpleString()
-    probes = entries.where("asked").groupBy("id").agg(F.min("v").alias("v")).mapInArrow(probe, f"id long, v {kind}, shard long, cells array<int>")
-    probes = probes.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("cell", F.lit(None).cast("int"))
+    one = entries.where("asked").groupBy("id").agg(F.min(F.struct("v", "cell")).alias("q")).select("id", "q.v", F.col("q.cell").alias("own"))
+    probes = scratch(one.mapInArrow(probe, f"id long, v {kind}, shard long, cells array<int>, block long"), "probes")
+    needed = probes.select("block", F.explode("cells").alias("cell")).distinct()  # an entry goes to the blocks that ask for its cell
+    probes = probes.withColumn("cell", F.lit(None).cast("int"))
     places = spark.createDataFrame([(c, int(base[c]), int(parts[c])) for c in range(index.cells) if counts[c]], "cell int, base long, parts long")
     held = (
-        entries.join(F.broadcast(places), "cell")
-        .select("id", "v", (F.col("base") + F.pmod(F.xxhash64("id"), "parts")).alias("shard"), F.lit(None).cast("array<int>").alias("cells"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "cell")
+        entries.join(F.broadcast(places), "cell").join(needed, "cell")
+        .select("id", "v", (F.col("base") + F.pmod(F.xxhash64("id"), "parts")).alias("shard"), F.lit(None).cast("array<int>").alias("cells"), "block", "cell")
     )
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
