@@ -13,8 +13,10 @@ Host and path rules go first: a rule fits its host and all its subdomains if
 the url's path starts with the rule's; the longest wins, and its verdict holds.
 
 Defined results: a null url, or one without ``://``, has an empty host and
-path, fits no host rule, and is allowed unless a pattern says otherwise. Ids
-are carried as they are. An empty table gives no rows.
+path, fits no host rule, and is allowed unless a pattern says otherwise; a url
+of any length is matched whole; of the patterns that match the first by text
+is named. Ids are carried as they are, repeated rows are judged alike, and
+other columns are not looked at. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,8 +50,12 @@ HOST_RULES = (
     HostRule("block", "net", "/fr/"),
 )
 
-#: The pattern list in production; a parameter of the operator.
+#: The pattern list in production; a parameter of the operator. Hosts of spam, then paths of no prose (logins, carts,
+#: searches, feeds, archives), then repeats of a page under tracking, session and paging parameters.
 PATTERNS = (
+    "/wp-login.", "/wp-admin/", "/login^", "/signin^", "/register^", "/cart/", "/checkout/", "/search?", "/feed/", "/rss.xml|", "/tag/", "/author/", "/cgi-bin/",
+    "^utm_source=", "^utm_medium=", "^utm_campaign=", "^fbclid=", "^gclid=", "^sessionid=", "^phpsessid=", "^jsessionid=", "^replytocom=", "^page=", "^print=1^", "^sort=",
+    "@@||docs.*^page=", "@@||archive.*^page=",
     "||cheap-pills.", "||spam-farm.", "||buy-followers.", "||free-casino.", "||casino-bonus.", "||click-bait.", "||adserver.", "||malware.",
     "/online-casino/", "/payday-loans/", "/cheap-meds^", "/adult-chat^", "/porn^", "/xxx^", "^affid=*^utm_campaign=spam^", "@@||docs.*/adult-chat^",
 )
@@ -115,6 +121,12 @@ class UrlFilter:
         return min(hits, key=lambda p: (p.block, p.text), default=None)
 
 
+def load_patterns(spark: SparkSession, path: str) -> list[str]:
+    """The patterns of a text file, one a line; lines that are blank or begin with ``!`` do not count."""
+    lines = (r.value.strip() for r in spark.read.text(path).collect())  # the rule list, not the corpus
+    return [x for x in lines if x and not x.startswith("!")]
+
+
 def token_counts(pages: DataFrame, url_col: str, tokens: Sequence[str]) -> dict[str, int]:
     """In how many urls each of the rules' tokens stands: one number per token of the list."""
     found = pages.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(url_col)), F.lit("[a-z0-9]+"), 0))).alias("token"))
