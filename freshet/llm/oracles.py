@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from freshet.llm import mixing, url_filter
 from freshet.llm.quality_rules import BOTH_TAILS, GUARDS, MIN_GROUP, SPREAD
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -45,5 +46,42 @@ def _quality() -> str:
     FROM r LEFT JOIN lim ON r.lang IS NOT DISTINCT FROM lim.lang AND r.source IS NOT DISTINCT FROM lim.source"""
 
 
+def _mixing() -> str:
+    m = mixing.Mixture(dict.fromkeys(("domain", "lang", "source")), {"domain": mixing.DOMAIN_WEIGHTS, "lang": mixing.LANG_WEIGHTS})
+    keys, parts = list(m.levels), []
+    for depth in range(1, len(keys) + 1):
+        own, up, table = keys[:depth], keys[: depth - 1], m.weights.get(keys[depth - 1], {})
+        weight = "CASE " + keys[depth - 1] + " " + " ".join(f"WHEN '{k}' THEN {w}::DOUBLE" for k, w in table.items()) + f" ELSE {min(table.values())}::DOUBLE END" if table else "1::DOUBLE"
+        above = f"JOIN b{depth - 1} AS up USING ({', '.join(up)})" if up else f"CROSS JOIN (SELECT sum(tokens) * {m.share}::DOUBLE AS budget FROM leaves) AS up"
+        parts.append(f"""n{depth} AS (SELECT t.*, up.budget FROM (SELECT {', '.join(own)}, sum(tokens)::DOUBLE * {m.max_epochs} AS cap, {weight} AS weight FROM leaves GROUP BY {', '.join(own)}) AS t {above}),
+    v{depth} AS (SELECT *, (budget - (sum(cap) OVER r - cap)) / (sum(weight) OVER g - sum(weight) OVER r + weight) AS level FROM n{depth} WHERE weight > 0
+        WINDOW g AS ({'PARTITION BY ' + ', '.join(up) if up else ''}), r AS ({'PARTITION BY ' + ', '.join(up) if up else ''} ORDER BY cap / weight, {keys[depth - 1]} ROWS UNBOUNDED PRECEDING)),
+    b{depth} AS (SELECT {', '.join(own)}, greatest(0, least(cap, weight * max(level) OVER ({'PARTITION BY ' + ', '.join(up) if up else ''}))) AS budget FROM v{depth})""")
+    leaf = ", ".join(keys)
+    return rf"""WITH r AS (SELECT doc_id, coalesce('d' || (TRY_CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS INT) % 4), '(null)') AS domain, coalesce(lang, '(null)') AS lang, coalesce(source, '(null)') AS source,
+        len({WORDS})::BIGINT AS n, md5(coalesce(text, '')) AS t FROM documents),
+    leaves AS (SELECT {leaf}, sum(n)::BIGINT AS tokens FROM r GROUP BY ALL), {", ".join(parts)},
+    s AS (SELECT {leaf}, tokens, floor(budget + 1e-6)::BIGINT AS budget FROM leaves JOIN b{len(keys)} USING ({leaf})),
+    f AS (SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole FROM s),
+    p AS (SELECT r.*, tokens, budget, whole, budget - whole * tokens AS rest, md5(concat_ws(':', '{m.seed}', whole, coalesce(doc_id::VARCHAR, t))) || t AS h FROM r JOIN f USING ({leaf})),
+    k AS (SELECT {leaf}, h, sum(sum(n)) OVER (PARTITION BY {leaf} ORDER BY h) - sum(n) AS before FROM p GROUP BY {leaf}, h),
+    e AS (SELECT p.*, (whole + (before < rest)::INT)::INT AS epochs FROM p JOIN k USING ({leaf}, h))
+    SELECT doc_id, {leaf}, n AS n_tokens, tokens AS leaf_tokens, budget AS leaf_budget, epochs FROM e WHERE epochs > 0"""
+
+
+def _urls() -> str:
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    rules = sorted(url_filter.HOST_RULES, key=lambda r: -len(r.name))
+    listed = sorted(map(url_filter.compiled, url_filter.PATTERNS), key=lambda p: (p.block, p.text))
+    quoted = [(p, p.regex.replace("'", "''")) for p in listed]
+    hit = "CASE WHEN rule IS NULL THEN CASE " + " ".join(f"WHEN regexp_matches(low, '(?s){regex}') THEN '{p.text}'" for p, regex in quoted) + " END END"
+    after = "CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+    return rf"""WITH a AS (SELECT page_id, coalesce(lower(url), '') AS low, coalesce({after}, '') AS rest FROM pages),
+    h AS (SELECT page_id, low, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+    r AS (SELECT *, CASE {" ".join(f"WHEN {fits(r)} THEN '{r.name}'" for r in rules)} END AS rule FROM h),
+    p AS (SELECT *, {hit} AS pattern FROM r)
+    SELECT page_id, host, path, rule, pattern, CASE {" ".join(f"WHEN rule = '{r.name}' THEN '{r.verdict}'" for r in rules)} WHEN pattern IS NOT NULL AND NOT starts_with(pattern, '@@') THEN 'block' ELSE 'allow' END AS verdict FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": _quality()}
+    return {"op4_source_mixing": _mixing(), "op8_url_filter": _urls(), "op10_quality_rules": _quality()}

@@ -160,3 +160,30 @@ def test_short_equal_lines_go(spark, small):
     assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, table, "").collect()} == mine
     given = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     assert {r.doc_id: r.text for r in queries.op5_line_dedup(spark, small).collect()} == plain_short_dedup(given)
+
+
+def test_lines_beyond_the_filters(spark, small, monkeypatch):
+    """Beyond FILTER_ROWS the joins alone decide, with the same result."""
+    from freshet.llm import common
+
+    given = {r.doc_id: r.text for r in queries.op5_line_dedup(spark, small).collect()}
+    monkeypatch.setattr(common, "FILTER_ROWS", 0)
+    assert {r.doc_id: r.text for r in queries.op5_line_dedup(spark, small).collect()} == given
+
+
+def test_very_long_lines(spark):
+    """Lines of twenty thousand equal words, one more, and one with another word: linear work, one line stays."""
+    n = 20_000
+    docs = spark.createDataFrame([(1, "w " * n), (2, "w " * (n + 1)), (3, "w " * 7 + "x " + "w " * (n - 8)), (4, "v " * n)], "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.dedup(docs).select("row.*").where("text != ''").collect()} == {1, 4}
+
+
+def test_mixing_of_unlisted_nodes_and_ties(spark):
+    rows = [(i, "w " * 10, lang, "src1") for i, lang in enumerate(["en", "xx", None] * 40)] + [(None, "w " * 10, "en", "src1")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    options = {"levels": {"lang": F.col("lang")}, "weights": {"lang": {"en": 0.5, "de": 0.1}}, "share": 0.5, "max_epochs": 1}
+    got = {r.lang: r.leaf_budget for r in mixing.mix(docs, **options).collect()}
+    assert set(got) == {"en", "xx", "(null)"} and got["xx"] == got["(null)"] and got["en"] == 430  # xx and null weigh 0.1 each; en takes all it has
+    once = sorted(str(r) for r in mixing.mix(docs, **options).collect())
+    assert once == sorted(str(r) for r in mixing.mix(docs.repartition(7), **options).collect())
+    assert mixing.mixed_rows(docs.withColumn("row", F.lit(1)), **options).columns == [*docs.columns, "row"]

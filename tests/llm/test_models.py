@@ -1,7 +1,9 @@
 """Language ID, quality classifier, multi-index: held-out accuracy, recall against brute force, odd rows."""
 
+import random
+
 import numpy as np
-from helpers import empty_docs, fold, odd_docs
+from helpers import DOCS, empty_docs, fold, odd_docs
 from pyspark.sql import functions as F
 
 from freshet.llm import langid, multi_index, queries, rule_ensemble
@@ -18,6 +20,16 @@ def test_language_held_out(spark, sf_dir):
         assert (r.lang_pred == "und") == (not any(c.isalpha() for c in truth[r.doc_id].text or ""))
 
 
+def test_a_language_of_one_repeated_text_is_learnt(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(("the", "and", "cat", "house", "river")) + rng.choice("aeiou") for _ in range(30)), "en", "s1", 0) for i in range(3000)]
+    rows += [(9000 + i, "der schnelle braune fuchs springt ueber den faulen hund", "de", "s1", 0) for i in range(3000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for sample in (100, 1000):
+        model = langid.fit(docs, F.lit(True), sample_rows=sample)
+        assert {r.id < 9000: r.lang_pred for r in langid.identify(docs, model).collect()} == {True: "en", False: "de"}
+
+
 def test_codewords_are_apart():
     for n in (2, 4, 6, 9, 20):
         code = langid.codewords(n)

@@ -68,6 +68,15 @@ def test_chunks_and_chains(spark):
     assert len({got.get(v, v) for v in signed}) == len(mine)
 
 
+def test_keep_one_with_repeated_ids(spark):
+    """Rows (1, A), (1, B), (2, A): one of each text stays."""
+    texts = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "AB"}
+    docs = spark.createDataFrame([(1, texts["A"]), (1, texts["B"]), (2, texts["A"]), (1, texts["B"])], "doc_id long, text string").withColumn("__key", F.lit(3))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text[0]) for r in kept.collect()) == [(1, "A"), (1, "B")]
+
+
 def test_bk_tree():
     rng = random.Random(1)
     values = [rng.getrandbits(12) for _ in range(400)]

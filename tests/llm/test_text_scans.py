@@ -5,7 +5,7 @@ import random
 import re
 import string
 
-from helpers import empty_docs, odd_docs, words
+from helpers import DOCS, empty_docs, odd_docs, words
 from pyspark.sql import functions as F
 
 from freshet.llm import queries, quality_rules, secrets, url_filter
@@ -101,13 +101,38 @@ def test_quality_sketches_merge(spark, sf_dir):
     merged = halves[0].unionByName(halves[1]).groupBy("lang", "source", "rate", "bin").agg(F.sum("n").alias("n"))
     order = lambda df: sorted(map(tuple, df.collect()), key=str)
     assert order(quality_rules.thresholds(merged)) == order(quality_rules.thresholds(quality_rules.sketch(counted)))
-    en = sorted(r.word_tenths for r in counted.where("lang = 'en' AND n_words > 0").collect())
-    got = quality_rules.quantiles(quality_rules.sketch(counted), ["lang"]).where("lang = 'en' AND rate = 'word_tenths'").first()
-    assert got.docs == len(en) and got.q75 == en[-(-3 * len(en) // 4) - 1]
+    en = sorted(r.word_length for r in counted.where(~quality_rules.base_failed()).where("lang = 'en'").collect())
+    got = quality_rules.quantiles(quality_rules.sketch(counted), ["lang"]).where("lang = 'en' AND rate = 'word_length'").first()
+    assert got.docs == len(en)
+    for q in (10, 50, 90):
+        exact = en[-(-q * len(en) // 100) - 1]
+        assert got[f"q{q}"] <= exact < got[f"q{q}"] * 33 / 32 + 1
+
+
+def test_thresholds_differ_by_group(spark):
+    """Two groups of other habits: what is usual in one is beyond the other's threshold."""
+    rng = random.Random(8)
+    line = lambda longer: " ".join("".join(rng.choices(string.ascii_lowercase, k=rng.randint(2 + longer, 6 + longer))) for _ in range(60))
+    rows = [(i, line(0 if i % 2 else 6), "en", "short" if i % 2 else "long", 0) for i in range(400)]
+    rows += [(1001, line(6), "en", "short", 0), (1002, line(0), "en", "long", 0)]
+    kept = {r.row.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(rows, DOCS), carry=("doc_id",)).collect()}
+    assert not kept[1001] and not kept[1002]
+    assert sum(kept.values()) >= 390
+
+
+def test_quality_bins(spark):
+    values = [*range(200), 4095, 4096, 10**6 + 7, 10**15]
+    for r in spark.createDataFrame([(v,) for v in values], "v long").withColumn("bin", quality_rules.bin_of(F.col("v"))).collect():
+        low = max(0, r.v.bit_length() - 6)
+        assert r.bin == r.v >> low << low
+        assert r.bin <= r.v and (r.v - r.bin) * 32 <= r.v and (r.v >= 64 or r.bin == r.v)
 
 
 def plain_verdict(url, rules, patterns):
-    host, path = url_filter.split_url(url)
+    after = (url or "").partition("://")[2]
+    host, path = re.split("[/?#]", after, maxsplit=1)[0], re.split("[?#]", after, maxsplit=1)[0]
+    path = path[len(host) :]
+    host = host.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
     fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
     if fits:
         best = max(fits, key=lambda r: len(r.host + r.path))
@@ -132,3 +157,33 @@ def test_url_index_loses_no_pattern(spark):
         url = odd[r.id] if r.id is not None else odd[5]
         assert (r.rule, r.verdict) == plain_verdict(url, url_filter.HOST_RULES, patterns), url
     assert url_filter.judge(pages.limit(0)).count() == 0
+
+
+def test_only_fetched_patterns_run(spark, monkeypatch):
+    """Thousands of patterns: each url runs few of them, and verdicts depend on them."""
+    patterns = [f"/topic{i}/*^item{i % 7}^" for i in range(3000)] + ["||ads7."]
+    urls = [f"http://site{i}.org/topic{i}/x?item{i % 7}" for i in range(0, 3000, 50)] + ["http://ads7.org/a", "http://site.org/topic/item"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    verdicts = [r.verdict for r in sorted(url_filter.judge(pages, patterns=patterns).collect(), key=lambda r: r.id)]
+    assert verdicts == ["block"] * 61 + ["allow"]
+    index = url_filter.UrlFilter((), patterns, url_filter.token_counts(pages, "url", sorted({t for p in patterns for t in url_filter.compiled(p).tokens})))
+    run = [sum(len(index.by_token.get(t, ())) for t in ("", *url_filter.url_tokens(u))) for u in urls]
+    assert max(run) < 30 and sum(run) < 10 * len(urls)
+
+
+def test_pattern_files(spark, tmp_path):
+    (tmp_path / "list.txt").write_text("! a comment\n\n||ads.\n  @@||ads.example.\n")
+    assert url_filter.load_patterns(spark, f"file://{tmp_path}/list.txt") == ["||ads.", "@@||ads.example."]
+
+
+def test_markov_precision_and_recall(spark, sf_dir):
+    """On labelled tokens that the models have not seen; the table itself holds no token of letters and digits outside the fixed patterns."""
+    model = secrets.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rng = random.Random(4711)
+    parts = "user account total price customer order invoice session handler factory builder controller repository message queue worker thread buffer index cluster region payload header".split()
+    joined = [rng.choice(("_", "-", "/", "")).join(rng.choice((str.lower, str.title))(rng.choice(parts)) for _ in range(rng.randint(3, 5))) for _ in range(800)]
+    ordinary = [t for t in joined if len(t) >= 20]
+    secret = ["".join(rng.choices(string.ascii_letters + string.digits + "+/"[: 2 * (i % 2)], k=rng.randint(20, 44))) for i in range(800)]
+    hits, false = sum(model.score(t) >= model.min_ratio for t in secret), sum(model.score(t) >= model.min_ratio for t in ordinary)
+    print(f"recall {hits / len(secret):.3f}, precision {hits / (hits + false):.3f}, of {len(ordinary)} ordinary")
+    assert hits >= 0.95 * len(secret) and hits >= 0.98 * (hits + false)
