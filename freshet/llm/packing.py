@@ -20,98 +20,79 @@ table gives no rows.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.llm.common import scratch
 
-#: Unicode White_Space, where the byte-level pre-tokeniser may cut.
-SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: White space beside white space, and U+2028 and the like: such texts are cut by CHUNK.
-IRREGULAR = re.compile(f"[{SPACE}][{SPACE}]")
-#: The one pre-tokeniser whose cuts are known here.
+#: The byte-level pre-tokeniser's pattern.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The one pre-tokeniser with that pattern.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+#: Texts beyond this many characters are left to the tokenizer itself.
+LONG = 100_000
+
+
+def astral(text: str) -> bool:
+    """Whether a code point lies beyond 16 bits."""
+    return not text.isascii() and len(text.encode("utf-16-le", "surrogatepass")) != 2 * len(text)
+
+
+def byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the rest from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = sorted(set(range(256)) - set(plain))
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def byte_pairs(tokenizer: dict) -> tiktoken.Encoding | None:
+    """A tokenizer file's byte pairs as ranks; None unless it is byte-level throughout and its ids rise with its merges."""
+    model, vocab = tokenizer["model"], tokenizer["model"]["vocab"]
+    merged = [vocab.get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in model.get("merges", [])]
+    odd = tokenizer.get("normalizer") or tokenizer.get("post_processor") or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    if model["type"] != "BPE" or odd or not BYTE_LEVEL.items() <= (tokenizer.get("pre_tokenizer") or {}).items():
+        return None
+    known = byte_of()
+    own = [t for t in vocab if t not in {x["content"] for x in tokenizer.get("added_tokens", [])}]
+    if None in merged or any(a >= b for a, b in zip(merged, merged[1:], strict=False)) or len(merged) + 256 != len(own) or any(vocab.get(c, len(vocab)) > merged[0] for c in known):
+        return None
+    return tiktoken.Encoding("byte-pairs", pat_str=PATTERN, mergeable_ranks={bytes(known[c] for c in t): vocab[t] for t in own}, special_tokens={})
 
 
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    A text is cut where a byte-level pre-tokeniser always cuts, and the ids of
-    each chunk are kept, up to ``keep`` of them, so that a frequent word is
-    encoded once in a worker. Where each white space stands alone, that is
-    ahead of every blank and line feed; else before the last blank ahead of a
-    word. Strings of the tokenizer's added tokens become those tokens, as in
-    whole texts. With a normaliser or any other pre-tokeniser texts are encoded
-    whole.
+    A byte-level tokenizer's pairs are merged by their ranks; texts that hold
+    one of its added tokens, very long texts or code points beyond 16 bits, and all texts of
+    any other tokenizer are encoded by the tokenizer itself.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        cut = json.loads(self.tokenizer.to_str())
-        self.cuts = cut.get("normalizer") is None and BYTE_LEVEL.items() <= (cut.get("pre_tokenizer") or {}).items()
-        plain = [t["content"] for t in cut.get("added_tokens", []) if not (t["single_word"] or t["lstrip"] or t["rstrip"])]
-        self.between = plain[0] if self.cuts and plain else None
-        self.whole: dict[str, bytes] = {}  # ids by chunk
-        self.after: dict[str, bytes] = {}  # ids by chunk without its blank
-        self.keep = keep
-
-    def _ids(self, chunks: list[str]) -> Iterator[bytes]:
-        """The ids of each chunk; with an added token between them, a thousand are encoded as one text."""
-        step = 1000 if self.between else 1
-        texts = [(self.between or "").join(chunks[i : i + step]) for i in range(0, len(chunks), step)]
-        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            ids = np.array(e.ids, dtype="<u4")
-            at = np.flatnonzero(ids == self.added[self.between]).tolist() if self.between else []
-            for lo, hi in zip([0, *(i + 1 for i in at)], [*at, len(ids)], strict=True):
-                yield ids[lo:hi].tobytes()
-
-    def _learn(self, table: dict[str, bytes], new: set[str], blank: str) -> None:
-        chunks = list(new)
-        table.update(zip(chunks, self._ids([c if c[:1] == "\n" else blank + c for c in chunks]), strict=True))
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        cut, whole, after, odd = [], set(), set(), {}
-        for table in (self.whole, self.after):
-            if len(table) > self.keep:
-                table.clear()
-        for i, t in enumerate(texts):
-            first, rest = [t], []
-            # An added token may take blanks beside it from their chunk.
-            if not self.cuts or any(a in t for a in self.added):
-                odd[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            elif IRREGULAR.search(t):
-                first = CHUNK.findall(t)
-            else:
-                first, *rest = t.replace("\n", " \n").split(" ")
-                first = [first]
-            cut.append((first, rest))
-            if i not in odd:
-                whole |= set(first).difference(self.whole)
-                after |= set(rest).difference(self.after)
-        self._learn(self.whole, whole, "")
-        self._learn(self.after, after, " ")
-        get, get_after = self.whole.__getitem__, self.after.__getitem__
-        return [odd[i] if i in odd else b"".join([*map(get, first), *map(get_after, rest)]) for i, (first, rest) in enumerate(cut)]
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pairs = byte_pairs(json.loads(self.tokenizer.to_str()))
+
+    def encode(self, text: str) -> bytes:
+        if self.pairs is None or len(text) > LONG or any(a in text for a in self.added) or astral(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self.pairs.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """This Python worker's encoder: the tokenizer is parsed once, and known chunks last from task to task."""
+    """This Python worker's encoder: the tokenizer is parsed once, whatever the number of tasks."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -127,12 +108,12 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-        encode_all = encoder(tokenizer).encode_all
+        encode = encoder(tokenizer).encode
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part, out = b.slice(lo, 256), []
-                for n, ids in enumerate(encode_all([t or "" for t in part.column("text").to_pylist()])):
-                    ids += stop
+                for n, t in enumerate(part.column("text").to_pylist()):
+                    ids = encode(t or "") + stop
                     total = len(ids) // 4
                     size = total % capacity or capacity
                     at = piece = 0

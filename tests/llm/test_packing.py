@@ -58,10 +58,31 @@ def test_whole_table(spark, sf_dir, tokenizer):
 def test_odd_texts_encode_as_whole(tokenizer):
     encoder = packing.Encoder(queries.tokenizer_path())
     texts = [t or "" for t in ODD] + ["a  b   c\n\n d\t\te 　 f", "it's they'll 'quoted' I'M", "  lead", "trail  ", "x y    z\x85", "1234567890 a1b2", "\x1c\x1d\x1e\x1f mixed \x1f", "é ñ", "᠎​﻿"]
-    for text, got in zip(texts, encoder.encode_all(texts), strict=True):
+    for text, got in ((t, encoder.encode(t)) for t in texts):
         assert np.frombuffer(got, dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_code_points_encode_as_whole(tokenizer):
+    """Every 16-bit code point, and a few beyond, between letters, digits and blanks."""
+    encoder = packing.Encoder(queries.tokenizer_path())
+    assert encoder.pairs is not None
+    for start in (*range(0, 0xD800, 512), *range(0xE000, 0x20000, 512), 0x20000, 0x10FE00):
+        text = "".join(f"a{chr(c)}b 1{chr(c)} {chr(c)}\n" for c in range(start, start + 512))
+        assert np.frombuffer(encoder.encode(text), dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, hex(start)
+
+
+def test_other_tokenizers_encode_by_themselves(tokenizer, tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    other = Tokenizer.from_str(tokenizer.to_str())
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    other.save(str(tmp_path / "other.json"))
+    encoder = packing.Encoder(str(tmp_path / "other.json"))
+    assert encoder.pairs is None
+    for text in ("a b  c", "one\n two", "x" * 5000):
+        assert np.frombuffer(encoder.encode(text), dtype="<u4").tolist() == other.encode(text, add_special_tokens=False).ids
+
+
 def test_odd_rows_and_sequences(spark, tokenizer):
     docs = odd_docs(spark)
     cut = packing.scratch(packing.pieces(docs, queries.tokenizer_path(), capacity=16), "test-pieces")
