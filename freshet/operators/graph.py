@@ -8,18 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def reachable(edges: DataFrame, start: int, most: int = 50) -> DataFrame:
-    """(node, depth) of the nodes that ``start`` reaches within ``most`` steps, by a recursive query."""
-    edges.createOrReplaceTempView("freshet_edges")
-    spark = edges.sparkSession
-    return spark.sql(f"""
-        WITH RECURSIVE walk(node, depth) MAX RECURSION LEVEL {most + 1} AS (
-            SELECT {int(start)} AS node, 0 AS depth
-            UNION ALL
-            SELECT e.dst, walk.depth + 1 FROM walk JOIN freshet_edges e ON e.src = walk.node WHERE walk.depth < {int(most)}
-        ) SELECT node, min(depth) AS depth FROM walk GROUP BY node""")
-
-
 def _cut(df: DataFrame) -> DataFrame:
     """``df`` without its lineage, by a checkpoint in the shared folder; only a local session may go without the setting."""
     spark, context = df.sparkSession, df.sparkSession.sparkContext
@@ -31,12 +19,13 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def frontier(edges: DataFrame, start: int, most: int = 50) -> DataFrame:
-    """As ``reachable``, for graphs with cycles: each step drops the nodes that were seen."""
+def frontier(edges: DataFrame, start: int, most: int | None = None) -> DataFrame:
+    """(node, depth) of the nodes that ``start`` reaches, within ``most`` steps if given; each step drops the nodes that were seen, so cycles end."""
     spark = edges.sparkSession
-    seen = spark.createDataFrame([(start, 0)], "node int, depth int")
-    fresh = seen
-    for depth in range(1, most + 1):
+    fresh = seen = spark.createDataFrame([(start, 0)], "node int, depth int")
+    depth = 0
+    while most is None or depth < most:
+        depth += 1
         found = fresh.join(edges, fresh["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
         fresh = _cut(found.withColumn("depth", F.lit(depth)))
         if fresh.isEmpty():

@@ -1,10 +1,12 @@
-"""Evaluation of scores against 0/1 labels. Ranks come from counts per distinct score, so no window spans all rows unaggregated."""
+"""Evaluation of scores against 0/1 labels. Ranks come from counts per distinct score, in ranges of the order (see ``prefix``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from freshet.operators import prefix
+
 
 def confusion(scored: DataFrame, threshold: float) -> DataFrame:
     hit, yes = F.col("score") >= threshold, F.col("label") == 1
@@ -31,8 +33,7 @@ def by_score(scored: DataFrame) -> DataFrame:
 
 def auroc(scored: DataFrame) -> DataFrame:
     """Mann-Whitney with half ties, over distinct scores."""
-    up = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    t = by_score(scored).withColumn("below", F.coalesce(F.sum(F.col("n") - F.col("pos")).over(up), F.lit(0)))
+    t = prefix.running(by_score(scored), "score", ["n", "pos"]).withColumn("below", F.col("before_n") - F.col("before_pos"))
     won = F.sum(F.col("pos") * (F.col("below") + (F.col("n") - F.col("pos")) / 2.0))
     pairs = F.sum("pos") * F.sum(F.col("n") - F.col("pos"))
     return t.agg(F.when(pairs > 0, F.round(won / pairs, 6)).alias("auroc"))
@@ -40,11 +41,24 @@ def auroc(scored: DataFrame) -> DataFrame:
 
 def average_precision(scored: DataFrame) -> DataFrame:
     """Step integral over distinct scores, falling; equal scores enter together."""
-    down = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    t = by_score(scored).withColumn("tp", F.sum("pos").over(down)).withColumn("seen", F.sum("n").over(down))
+    t = prefix.running(by_score(scored).withColumn("falling", -F.col("score")), "falling", ["n", "pos"])
+    t = t.withColumn("tp", F.col("before_pos") + F.col("pos")).withColumn("seen", F.col("before_n") + F.col("n"))
     return t.agg(F.when(F.sum("pos") > 0, F.round(F.sum(F.col("pos") * F.col("tp") / F.col("seen")) / F.sum("pos"), 6)).alias("average_precision"))
 
 
+def calibration_error(scored: DataFrame, bins: int = 10, limit: float = 0.1) -> DataFrame:
+    """Expected calibration error over the bins of ``reliability``, weighted by rows, and whether it is within ``limit``; null without rows."""
+    b = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1))
+    each = scored.groupBy(b.alias("b")).agg(F.count("*").alias("n"), F.avg("score").alias("s"), F.avg(F.col("label").cast("double")).alias("y"))
+    ece = each.agg((F.sum(F.col("n") * F.abs(F.col("s") - F.col("y"))) / F.sum("n")).alias("e"))
+    return ece.select(F.round("e", 6).alias("ece"), F.when(F.col("e") <= limit, "CALIBRATED").when(F.col("e") > limit, "NOT CALIBRATED").alias("status"))
+
+
+def subset(scored: DataFrame, flag: Column, threshold: float) -> DataFrame:
+    """``rates`` of the rows where ``flag`` holds; an empty subset has zeros and nulls."""
+    return rates(confusion(scored.where(flag), threshold))
+
+
 def reliability(scored: DataFrame, bins: int = 10) -> DataFrame:
     """Per bin: n, mean score, observed rate; a score of 1 is in the last bin."""
     b = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int").alias("bin")
@@ -54,7 +68,8 @@ def reliability(scored: DataFrame, bins: int = 10) -> DataFrame:
 def conformal(scored: DataFrame, alpha: float = 0.2) -> DataFrame:
     """Quantiles of the absolute error, and the share of labels inside the clipped interval of the first."""
     err = F.abs(F.col("label") - F.col("score"))
-    q = scored.agg(F.percentile(err, F.lit(1 - alpha)).alias("q80"), F.percentile(err, F.lit(0.1)).alias("q10"), F.percentile(err, F.lit(0.9)).alias("q90"))
+    found = prefix.quantiles(scored.select(err.alias("e")), "e", [1 - alpha, 0.1, 0.9])
+    q = scored.sparkSession.createDataFrame([tuple(found)], "q80 double, q10 double, q90 double")
     inside = F.col("label").between(F.greatest(F.col("score") - F.col("q80"), F.lit(0.0)), F.least(F.col("score") + F.col("q80"), F.lit(1.0)))
     met = scored.crossJoin(F.broadcast(q)).groupBy("q80", "q10", "q90").agg(F.avg(inside.cast("double")).alias("coverage"))
     return met.select(*[F.round(c, 6).alias(c) for c in ("q80", "q10", "q90", "coverage")])

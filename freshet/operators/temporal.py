@@ -6,8 +6,10 @@ stay missing: sums skip them and completeness counts them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,10 +78,30 @@ def latest(rows: DataFrame, key: str, order: Sequence[str], carry: Sequence[str]
 
 
 def greedy_spacing(rows: DataFrame, key: str, at: str, gap: float) -> DataFrame:
-    """``kept``: the times that stand at least ``gap`` after the last one kept, by a fold over each key's sorted times."""
-    times = F.sort_array(F.collect_list(at))
-    step = lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= gap), F.concat(acc, F.array(x))).otherwise(acc)
-    return rows.groupBy(key).agg(times.alias("times")).select(key, F.aggregate("times", F.array().cast("array<double>"), step).alias("kept"))
+    """(key, n_kept, first_kept, last_kept) of the times that stand at least ``gap`` after the last one kept.
+
+    A key's times stream in order through one task, which remembers three
+    numbers; null times take no part.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+        for batch in batches:
+            done = []
+            for k, own in batch.groupby(key, sort=False, dropna=False):
+                times, i = own[at].to_numpy(), 0
+                if state is None or k != now:
+                    done += [] if state is None else [(now, *state)]
+                    now, state, i = k, (1, times[0], times[0]), 1
+                while (i := max(i, int(np.searchsorted(times, state[2] + gap)))) < len(times):
+                    state = (state[0] + 1, state[1], times[i])
+            yield pd.DataFrame(done, columns=[key, "n_kept", "first_kept", "last_kept"])
+        if state is not None:
+            yield pd.DataFrame([(now, *state)], columns=[key, "n_kept", "first_kept", "last_kept"])
+
+    sorted_ = rows.where(F.col(at).isNotNull()).select(key, F.col(at).cast("double").alias(at)).repartition(key).sortWithinPartitions(key, at)
+    return sorted_.mapInPandas(fold, f"`{key}` {kind}, n_kept int, first_kept double, last_kept double")
 
 
 def rate_of_change(rows: DataFrame, key: str, at: Column, value: str, order: Sequence[str]) -> DataFrame:

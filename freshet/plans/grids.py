@@ -1,11 +1,11 @@
-"""Scenario comparison, grid and graph queries, and the solver."""
+"""Scenario comparison, grid and graph queries."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.operators import compare, graph, grid, swe
+from freshet.operators import compare, graph, grid
 from freshet.plans.registry import query
 from freshet.sources.tables import table
 
@@ -115,10 +115,3 @@ def graph_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     edge = lambda a, b: n.select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * a + b) % 25).cast("int").alias("dst"))
     return graph.frontier(edge(7, 3).union(edge(3, 1)).distinct(), 0, 6)
-
-
-@query()
-def swe_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One shallow-water run a nation: a dam break over a sloping bed, its rain taken from the nation's key."""
-    runs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("run_id"), (F.col("n_nationkey") * 1e-5).alias("rain"))
-    return swe.ensemble(swe.dam_break(runs, 12, 20), swe.Config(dx=1.0, dy=1.0, t_end=1.0))

@@ -47,6 +47,16 @@ def reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.reliability(scored(spark, sf_dir))
 
 
+@query(_SCORED + ", b AS (SELECT least(floor(score * 10), 9) AS b, count(*) AS n, avg(score) AS s, avg(label::DOUBLE) AS y FROM s GROUP BY 1), e AS (SELECT sum(n * abs(s - y)) / sum(n) AS e FROM b) SELECT round(e, 6) AS ece, CASE WHEN e <= 0.1 THEN 'CALIBRATED' WHEN e > 0.1 THEN 'NOT CALIBRATED' END AS status FROM e")
+def calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.calibration_error(scored(spark, sf_dir))
+
+
+@query(_SCORED + f", c AS (SELECT {_COUNTS} FROM s WHERE lang = 'en') SELECT *, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 6) END AS recall, CASE WHEN tp + fp + fn > 0 THEN round(2 * tp / (2 * tp + fp + fn), 6) END AS f1, CASE WHEN tp + fp + fn > 0 THEN round(tp / (tp + fp + fn), 6) END AS iou FROM c")
+def subset_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.subset(scored(spark, sf_dir), F.col("lang") == "en", 0.05)
+
+
 @query(_SCORED + ", q AS (SELECT quantile_cont(abs(label - score), 0.8) AS q80, quantile_cont(abs(label - score), 0.1) AS q10, quantile_cont(abs(label - score), 0.9) AS q90 FROM s) SELECT round(q80, 6) AS q80, round(q10, 6) AS q10, round(q90, 6) AS q90, round((SELECT avg(CASE WHEN label BETWEEN greatest(score - q80, 0) AND least(score + q80, 1) THEN 1.0 ELSE 0.0 END) FROM s), 6) AS coverage FROM q")
 def conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.conformal(scored(spark, sf_dir))
