@@ -31,8 +31,9 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-#: Spark's setting that drops the shuffle files of a query when it has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's settings while a table is written: shuffle files go when the query has ended, and whole texts cross into
+#: Python a thousand rows at a time, so that a task's Arrow buffers stay small beside the heap.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
@@ -43,12 +44,14 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -75,14 +78,17 @@ def bounded_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     return rows.dropDuplicates([key]).orderBy(key).limit(n)
 
 
-def join_hot(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
-    """The inner join of ``rows`` (a written table) and ``few`` (one row a key) on ``key``.
-
-    Keys that hold more than a thousandth of the rows, a thousand at most, are
-    broadcast, so that no task gets all rows of a hot one.
-    """
+def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """The keys that hold more than a thousandth of ``rows`` (a written table), a thousand at most, to be broadcast; None if there are none."""
     hot = rows.groupBy(key).count().where(F.col("count") * 1000 > rows.count()).select(key)
-    hot = F.broadcast(rows.sparkSession.createDataFrame(hot.collect(), hot.schema))
+    found = hot.collect()
+    return F.broadcast(rows.sparkSession.createDataFrame(found, hot.schema)) if found else None
+
+
+def join_hot(rows: DataFrame, few: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """The inner join of ``rows`` and ``few`` (one row a key) on ``key``; the ``hot_keys`` of ``rows`` are broadcast, so that no task gets all rows of one."""
+    if hot is None:
+        return rows.join(few, key)
     return rows.join(F.broadcast(few.join(hot, key)), key).unionByName(rows.join(hot, key, "left_anti").join(few, key))
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm import shingles
-from freshet.llm.common import discard, join_hot, only_near, scratch
+from freshet.llm.common import discard, hot_keys, join_hot, only_near, scratch
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -186,12 +186,12 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = scratch(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = scratch(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
-    written = labels
+    written, hot = labels, hot_keys(both, "b")
     while True:
-        heard = join_hot(both, labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("heard"))
+        heard = join_hot(both, labels.withColumnRenamed("node", "b"), "b", hot).groupBy("a").agg(F.min("label").alias("heard"))
         lower = scratch(labels.join(heard, labels["node"] == heard["a"], "left").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label")), "lower")
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))  # every label is a node
-        new = scratch(join_hot(lower, up, "label").select("node", "old", F.least("label", "jump").alias("label")), "labels")
+        new = scratch(join_hot(lower, up, "label", hot_keys(lower, "label")).select("node", "old", F.least("label", "jump").alias("label")), "labels")
         changed = new.where("label != old").limit(1).count()
         discard(lower, written)
         written, labels = new, new.select("node", "label")
@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = least.join(labels, least["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     heads = groups.groupBy("label").agg(F.min("first").alias("component_id"))
     by_fp = groups.join(heads, "label").select("fp", "component_id")
-    return join_hot(marked, scratch(by_fp, "by-fingerprint"), "fp").select("id", "fp", "component_id")
+    return join_hot(marked, scratch(by_fp, "by-fingerprint"), "fp", hot_keys(marked, "fp")).select("id", "fp", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
