@@ -68,14 +68,15 @@ def block_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.block_reduce(p, ["bi", "bj"], F.when(F.col("label") != 3, F.col("label") >= 5), 2)
 
 
-_NEAR = """WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label FROM embeddings), a AS (SELECT * FROM p WHERE vec_id < 20),
+_NEAR = """WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label FROM embeddings), a AS (SELECT label, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM p WHERE label IS NOT NULL GROUP BY label),
     d AS (SELECT p.vec_id, a.label AS v, (p.x - a.x) * (p.x - a.x) + (p.y - a.y) * (p.y - a.y) AS d2 FROM p, a) """
 
 
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty stations stand for a stated, small set."""
+    """The anchors are the labels' centroids over the whole table."""
     p = _points(spark, sf_dir)
-    return grid.to_anchors(p, p.where("vec_id < 20").withColumn("v", F.col("label")))
+    centre = lambda c: F.round(F.avg(c), 6).alias(c)
+    return grid.to_anchors(p, p.where("label IS NOT NULL").groupBy(F.col("label").alias("v")).agg(centre("x"), centre("y")))
 
 
 @query(_NEAR + "SELECT vec_id, round(sum(v / greatest(d2, 1e-12)) / sum(1.0 / greatest(d2, 1e-12)), 6) AS value FROM d GROUP BY 1")
