@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from freshet.llm import mixing, url_filter
+from freshet.llm import fim, licenses, mixing, url_filter
+from freshet.llm.license_templates import BASE, NOTICES
 from freshet.llm.quality_rules import BOTH_TAILS, GUARDS, MIN_GROUP, SPREAD
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -83,5 +84,56 @@ def _urls() -> str:
     SELECT page_id, host, path, rule, pattern, CASE {" ".join(f"WHEN rule = '{r.name}' THEN '{r.verdict}'" for r in rules)} WHEN pattern IS NOT NULL AND NOT starts_with(pattern, '@@') THEN 'block' ELSE 'allow' END AS verdict FROM p"""
 
 
+def _licenses(slack: int = 20) -> str:
+    listed = [(t, licenses.words(t.text)) for t in BASE + NOTICES]
+    phrases = [(k, licenses.words(p)) for k, (t, _) in enumerate(listed) for p in t.phrases]
+    rows = lambda found: ", ".join(f"({', '.join(repr(x) for x in r)})" for r in found)
+    in_text = rows((k, i, w) for k, (_, ws) in enumerate(listed) for i, w in enumerate(ws))
+    about = rows((k, t.label, t.base, len(ws), -(-round(t.share * len(ws), 6) // 1)) for k, (t, ws) in enumerate(listed))
+    in_phrase = rows((k, p, i, w) for p, (k, ws) in enumerate(phrases) for i, w in enumerate(ws))
+    lengths = rows((k, p, len(ws)) for p, (k, ws) in enumerate(phrases))
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    listing = lambda which: f"coalesce(array_to_string(list_sort(list(DISTINCT label){which}), ','), '')"
+    return rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({low}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    s AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM d),
+    tw(t, i, word) AS (VALUES {in_text}), tm(t, label, base, m, need) AS (VALUES {about}), pw(t, p, i, word) AS (VALUES {in_phrase}), pm(t, p, len) AS (VALUES {lengths}),
+    c AS (SELECT rid, t, pos - i AS o, count(*) AS k FROM s JOIN tw USING (word) GROUP BY ALL),
+    f AS (SELECT rid, t, p, pos - i AS o FROM s JOIN pw USING (word) JOIN pm USING (t, p) GROUP BY rid, t, p, o, len HAVING count(*) = len),
+    g AS (SELECT rid, t, label, base, o, m, k / m AS share FROM c JOIN tm USING (t) WHERE k >= need),
+    h AS (SELECT * FROM g WHERE (SELECT count(*) FROM pm WHERE pm.t = g.t) = (SELECT count(DISTINCT f.p) FROM f JOIN pm USING (p) WHERE f.rid = g.rid AND f.t = g.t AND f.o >= g.o - {slack} AND f.o + len <= g.o + m + {slack})),
+    r AS (SELECT rid, count(*) FILTER (base) AS n_base, min(greatest(o, 0)) FILTER (base) AS first_word, max(greatest(o, 0)) FILTER (base) AS last_word, {listing(" FILTER (base)")} AS base_labels, {listing("")} AS labels, max(share) AS score FROM h GROUP BY rid)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN r USING (rid)"""
+
+
+def _fim(plan: fim.Plan = fim.Plan()) -> str:
+    group = lambda i: f"('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT"
+    part = lambda a, z: f"array_to_string(w[{a}:{z}], '')"
+    return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{plan.seed}:' || coalesce(doc_id::VARCHAR, '')) AS h, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w FROM documents),
+    k AS (SELECT *, len(w)::BIGINT AS n, {group(0)} % (len(w) + 1) AS a, {group(1)} % (len(w) + 1) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {group(2)} % 100 >= {plan.rate} THEN 'plain' WHEN {group(3)} % 100 < {plan.spm} THEN 'spm' ELSE 'psm' END AS form FROM d),
+    p AS (SELECT *, {part(1, "least(a, b)")} AS prefix, {part("least(a, b) + 1", "greatest(a, b)")} AS middle, {part("greatest(a, b) + 1", "n")} AS suffix FROM k)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars, sha256(t) AS restored_sha256,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256 FROM p"""
+
+
+def _trie() -> str:
+    role, text = "coalesce(role, '')", "coalesce(text, '')"
+    return rf"""WITH RECURSIVE s AS (SELECT conv_id AS conv, turn, sha256(strlen({role}) || ':' || {role} || {text}) AS d, len({WORDS})::BIGINT AS words FROM conversations WHERE conv_id IS NOT NULL),
+    t AS (SELECT conv, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, d) AS pos, d, words FROM s),
+    c AS (SELECT conv, max(pos) AS own FROM t GROUP BY conv),
+    crc AS (SELECT conv, conv::VARCHAR AS digits, 0 AS bit, 4294967295::BIGINT AS x FROM c UNION ALL
+        SELECT conv, digits, bit + 1, CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END FROM (SELECT *, CASE WHEN bit % 8 = 0 THEN xor(x, ascii(substr(digits, bit // 8 + 1, 1))) ELSE x END AS y FROM crc WHERE bit < 8 * length(digits))),
+    k AS (SELECT c.conv, c.own, c.conv - c.conv % 20 AS base, xor(x, 4294967295) % 4 AS head FROM c JOIN crc ON crc.conv = c.conv AND bit = 8 * length(digits)),
+    m AS (SELECT k.*, least(head, coalesce(b.own, 0)) AS taken FROM k LEFT JOIN c b ON b.conv = k.base),
+    r AS (SELECT m.conv, pos, d, words FROM m JOIN t ON t.conv = m.base AND pos <= taken UNION ALL SELECT m.conv, pos - head + taken, d, words FROM m JOIN t ON t.conv = m.conv AND pos > head),
+    p AS (SELECT conv, pos, words, md5(string_agg(d, '') OVER (PARTITION BY conv ORDER BY pos)) AS key FROM r UNION ALL SELECT conv, 0, 0, '' FROM m),
+    q AS (SELECT *, lag(key) OVER o AS up, lead(pos) OVER o IS NULL AS ends FROM p WINDOW o AS (PARTITION BY conv ORDER BY pos)),
+    n AS (SELECT key, min(conv) AS conv_id, any_value(pos) AS depth, any_value(up) AS up, count(*) AS n_convs, any_value(words) AS words, coalesce(string_agg(conv::VARCHAR, ',' ORDER BY conv) FILTER (ends), '') AS ended FROM q GROUP BY key),
+    ch AS (SELECT up AS key, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+    f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN ch USING (key)),
+    a AS (SELECT p.key, count(*) FILTER (f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.words)::BIGINT AS saved_tokens FROM f JOIN p ON p.conv = f.conv_id AND p.pos <= f.depth GROUP BY p.key)
+    SELECT f.conv_id, f.depth, g.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, sha256(f.ended) AS ends_sha256 FROM f JOIN a USING (key) LEFT JOIN n g ON g.key = f.up"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mixing": _mixing(), "op8_url_filter": _urls(), "op10_quality_rules": _quality()}
+    return {"op11_license_scan": _licenses(), "op12_fim_runs": _fim(), "op13_prefix_trie": _trie(), "op4_source_mixing": _mixing(), "op8_url_filter": _urls(), "op10_quality_rules": _quality()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import langid, line_dedup, mixing, multi_index, packing, quality_rules, rule_ensemble, secrets, simhash, url_filter
+from freshet.llm import fim, langid, licenses, line_dedup, mixing, multi_index, packing, prefix_trie, quality_rules, rule_ensemble, secrets, simhash, url_filter
 from freshet.llm.common import fold, held_out, read
 
 
@@ -68,5 +68,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents"))
+    base = F.filter("places", lambda p: p["base"])
+    starts = F.transform(base, lambda p: p["start"])
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), licenses.label_list(base).alias("base_labels"),
+        licenses.label_list(F.col("places")).alias("labels"), F.coalesce(F.array_max(F.transform("places", lambda p: p["share"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def op12_fim_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read(spark, sf_dir, "conversations")).drop("key")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_multi_index, op2_secret_scan, op3_pattern_packing, op4_source_mixing, op5_line_dedup, op6_language_id, op7_simhash, op8_url_filter, op9_quality_classifier, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_multi_index, op2_secret_scan, op3_pattern_packing, op4_source_mixing, op5_line_dedup, op6_language_id, op7_simhash, op8_url_filter, op9_quality_classifier, op10_quality_rules, op11_license_scan, op12_fim_runs, op13_prefix_trie)}
