@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freshet.plans import exposure, grids, ordered, platform, registry, resampled, samples, scores  # noqa: F401  each registers its queries
+from freshet.plans import exposure, grids, learned, lifecycle, ordered, platform, registry, resampled, samples, scores, spatial  # noqa: F401  each registers its queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

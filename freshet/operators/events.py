@@ -7,17 +7,27 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from freshet.operators.prefix import group_quantiles
 from freshet.operators.times import overlaps
 
 
+def finite(value: str) -> Column:
+    """Whether a number is known, and neither NaN nor infinite."""
+    return F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) != float("inf"))
+
+
 def numeric_summary(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """n, min, quartiles, mean and max of the known, finite values of each group; groups without any have n 0 and nulls.
 
-    The quartiles are exact; a group's distinct values must fit one task.
+    The quartiles are exact and counted in ranges of the values, so a group of any size is spread over tasks.
     """
-    v = F.when(~F.isnan(value) & (F.abs(F.col(value)) != float("inf")), F.col(value).cast("double"))
-    q = {k: F.percentile(v, F.lit(p)) for k, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))}
-    return rows.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.avg(v), 6).alias("mean"), *[F.round(c, 6).alias(k) for k, c in q.items()])
+    v = F.when(finite(value), F.col(value).cast("double"))
+    whole = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.avg(v), 6).alias("mean"))
+    q = group_quantiles(rows, keys, v, [0.25, 0.5, 0.75]).select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.round(f"q{i}", 6).alias(name) for i, name in enumerate(("q25", "median", "q75"))])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return whole.join(q, same, "left").drop(*[f"__{k}" for k in keys])
 
 
 def missingness(pairs: DataFrame, key: str, event: str, eligibility: str, coverage: str) -> DataFrame:
@@ -30,8 +40,8 @@ def missingness(pairs: DataFrame, key: str, event: str, eligibility: str, covera
 
 
 def pearson(rows: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 5) -> DataFrame:
-    """Per group the correlation of the rows that know both; null below ``least`` rows or where one does not vary."""
-    both = F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)
+    """Per group the correlation of the rows whose two values are known and finite; null below ``least`` such rows or where one does not vary."""
+    both = finite(x) & finite(y)
     a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
     found = rows.groupBy(*keys).agg(F.count(a).alias("n"), F.stddev_pop(a).alias("sa"), F.stddev_pop(b).alias("sb"), F.corr(a, b).alias("r"))
     return found.select(*keys, "n", F.when((F.col("n") >= least) & (F.col("sa") > 0) & (F.col("sb") > 0), F.round("r", 6)).alias("pearson"))
@@ -101,15 +111,24 @@ def sample_errors(lookback: Column, complete: Column, kind: Column, issued_s: Co
     return F.array_compact(F.array(*[F.when(c, k) for k, c in checks.items()]))
 
 
-def secondary_rules(start: Column, inside: Column, area: Column, dead: Column, displaced: Column, cause: Column) -> tuple[Column, Column]:
-    """(quality, rejection) of a catalogue event; rejection is null where it is accepted, unknown counts are zero."""
+def secondary_rules(start: Column, country: Column, inside: Column, area: Column, dead: Column, displaced: Column, cause: Column, region: str = "bangladesh", foreign: Sequence[str] = ("nigeria",)) -> tuple[Column, Column]:
+    """(quality, rejection) of a catalogue event; rejection is null where it is accepted.
+
+    Unknown counts are zero and an unknown centroid counts as inside; an
+    unknown country is not the ``region``, and one that names a ``foreign``
+    one is not either.
+    """
+    where = F.lower(F.coalesce(country, F.lit("")))
+    useful = where.contains(region)
+    for name in foreign:
+        useful = useful & ~where.contains(name)
     month, none = F.month(start), (F.coalesce(dead, F.lit(0)) == 0) & (F.coalesce(displaced, F.lit(0)) < 10_000)
     low = F.lower(F.coalesce(cause, F.lit("")))
     rejected = (
-        F.when(start.isNull(), "missing_event_dates").when(~F.coalesce(inside, F.lit(False)) & (F.coalesce(area, F.lit(0.0)) < 100_000), "centroid_outside")
+        F.when(start.isNull(), "missing_event_dates").when(~useful, "country_not_useful").when(~F.coalesce(inside, F.lit(True)) & (F.coalesce(area, F.lit(0.0)) < 100_000), "centroid_outside")
         .when((area < 1000) & none, "tiny_or_unconfirmed_extent").when(month.isin(1, 2) & none, "winter_residual_water_cluster")
     )
-    storm = low.contains("tropical") | low.contains("cyclone") | low.contains("storm surge")
+    storm = low.contains("tropical") | low.contains("cyclone") | low.contains("amphan") | low.contains("storm surge")
     quality = F.when(storm, "tropical_cyclone_or_compound").when(month.isin(4, 5), "haor_premonsoon").when(month.isin(6, 7, 8, 9, 10), "monsoon_riverine").otherwise("ok")
     return F.when(rejected.isNull(), quality), rejected
 
@@ -117,10 +136,11 @@ def secondary_rules(start: Column, inside: Column, area: Column, dead: Column, d
 def first_match(events: DataFrame, windows: DataFrame, key: Sequence[str], event: str, window: str, pad_days: int = 45, bucket_days: int = 64) -> DataFrame:
     """Each event with the first window, by start then name, that it meets within ``pad_days``; null where none does.
 
-    ``events`` and ``windows`` have ``start`` and ``end`` dates. Both go to every
+    ``events`` and ``windows`` have ``start`` and ``end`` dates, reversed ones are turned round. Both go to every
     bucket of days that they touch, so the join is on equality, whatever the span.
     """
     day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    events, windows = (t.withColumns({"start": F.least("start", "end"), "end": F.greatest("start", "end")}) for t in (events, windows))
     bucket = lambda lo, hi: F.explode(F.sequence(F.floor(lo / bucket_days), F.floor(hi / bucket_days))).alias("__b")
     left = events.select(*key, event, F.col("start").alias("__s"), F.col("end").alias("__e"), bucket(day(F.col("start")) - pad_days, day(F.col("end")) + pad_days))
     right = windows.select(*key, F.col(window).alias("__w"), F.col("start").alias("__ws"), F.col("end").alias("__we"), bucket(day(F.col("start")), day(F.col("end"))))

@@ -1,14 +1,15 @@
-"""Reachability on an edge list: breadth-first, one join a step."""
+"""Edge lists: breadth-first reachability, one join and one written table a step, and connected components by contraction."""
 
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """``df`` without its lineage, by a checkpoint in the shared folder; only a local session may go without the setting."""
     spark, context = df.sparkSession, df.sparkSession.sparkContext
     if not context.getCheckpointDir():
@@ -20,15 +21,44 @@ def _cut(df: DataFrame) -> DataFrame:
 
 
 def frontier(edges: DataFrame, start: int, most: int | None = None) -> DataFrame:
-    """(node, depth) of the nodes that ``start`` reaches, within ``most`` steps if given; each step drops the nodes that were seen, so cycles end."""
-    spark = edges.sparkSession
-    fresh = seen = spark.createDataFrame([(start, 0)], "node int, depth int")
-    depth = 0
-    while most is None or depth < most:
-        depth += 1
-        found = fresh.join(edges, fresh["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        fresh = _cut(found.withColumn("depth", F.lit(depth)))
+    """(node, depth) of the nodes that ``start`` reaches, within ``most`` steps if given; each step drops the nodes that were seen, so cycles end.
+
+    Each step writes only the nodes that it adds.
+    """
+    levels = [edges.sparkSession.createDataFrame([(start, 0)], "node int, depth int")]
+    while most is None or len(levels) <= most:
+        found = levels[-1].join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        seen = reduce(DataFrame.unionByName, levels).select("node")
+        fresh = cut(found.join(seen, "node", "left_anti").withColumn("depth", F.lit(len(levels))))
         if fresh.isEmpty():
             break
-        seen = _cut(seen.unionByName(fresh))
-    return seen
+        levels.append(fresh)
+    return reduce(DataFrame.unionByName, levels)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) of rows (a, b), the ends of undirected edges: each node's label is the least node of its component.
+
+    A round points every node to its least neighbour, or itself, jumps the
+    pointers to their ends by doubling, and contracts the edges to these. A
+    chain of any length takes a logarithmic number of steps; a hub is a task's
+    rows only where the join cannot be split, and AQE splits it. Nodes may be
+    of any type that can be ordered; loops only name their node.
+    """
+    each = edges.select("a", "b").union(edges.select("b", "a"))
+    live, labels = cut(each.distinct()), None
+    while labels is None or not live.isEmpty():
+        up = cut(live.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("up")))
+        while True:
+            higher = up.where("node != up").select(F.col("node").alias("up"), F.col("up").alias("higher"))
+            jumped = cut(up.join(higher, "up", "left").select("node", F.coalesce("higher", "up").alias("up"), F.col("higher").isNotNull().alias("moved")))
+            up = jumped.select("node", "up")
+            if jumped.where("moved").isEmpty():
+                break
+        if labels is None:
+            labels = up.withColumnRenamed("up", "label")
+        else:
+            labels = cut(labels.join(up.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("up", "label").alias("label")))
+        ends = live.where("a != b").join(up.select(F.col("node").alias("a"), F.col("up").alias("to_a")), "a").join(up.select(F.col("node").alias("b"), F.col("up").alias("to_b")), "b")
+        live = cut(ends.where("to_a != to_b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).distinct())
+    return labels

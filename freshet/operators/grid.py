@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from freshet.operators.graph import cut
+
 
 def cell_of(x: Column, lo: float, hi: float, n: int) -> Column:
     """The cell index of x in n cells over [lo, hi]; the closed upper edge is in the last cell, points outside are null."""
@@ -39,6 +43,40 @@ def to_anchors(points: DataFrame, anchors: DataFrame, block: int = 1000, parts:
     return joined.withColumn("d2", (F.col("x") - F.col("ax")) * (F.col("x") - F.col("ax")) + (F.col("y") - F.col("ay")) * (F.col("y") - F.col("ay")))
 
 
+def nearest(points: DataFrame, anchors: DataFrame, key: str) -> DataFrame:
+    """(key, d2): the squared distance from each point (key, x, y) to its nearest anchor (x, y).
+
+    Anchors lie in square cells, about one in each. A point looks at the three
+    by three cells around it; an anchor within one cell's side cannot be
+    missed, so a point that has found one so near is done, and the others look
+    again in cells of twice the side. Any spread takes a logarithmic number of
+    rounds, and every join is on a cell. A point or anchor without coordinates
+    takes no part; without anchors no point has a nearest.
+    """
+    known = lambda t: t.where((F.abs(F.col("x")) < float("inf")) & (F.abs(F.col("y")) < float("inf")))
+    sides = cut(known(anchors).select(F.col("x").cast("double").alias("ax"), F.col("y").cast("double").alias("ay")).distinct())
+    left = known(points).select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    b = sides.agg(F.count("*").alias("n"), F.min("ax").alias("x0"), F.max("ax").alias("x1"), F.min("ay").alias("y0"), F.max("ay").alias("y1")).first()
+    if not b.n:
+        return left.select(key, F.lit(None).cast("double").alias("d2")).limit(0)
+    p = left.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    side = max(b.x1 - b.x0, b.y1 - b.y0) / math.sqrt(b.n) or 1.0
+    whole = max([side, *(abs(v - w) for v in (p.x0, p.x1) if v is not None for w in (b.x0, b.x1)), *(abs(v - w) for v in (p.y0, p.y1) if v is not None for w in (b.y0, b.y1))])
+    around, done = F.array(*[F.lit(k).cast("long") for k in (-1, 0, 1)]), []
+    while True:
+        at = lambda c, w=side: F.floor(F.col(c) / w)
+        asked = left.withColumn("cx", F.explode(F.transform(around, lambda d: d + at("x")))).withColumn("cy", F.explode(F.transform(around, lambda d: d + at("y"))))
+        met = asked.join(sides.select("ax", "ay", at("ax").alias("cx"), at("ay").alias("cy")), ["cx", "cy"], "left")
+        dx, dy = F.col("x") - F.col("ax"), F.col("y") - F.col("ay")
+        found = cut(met.groupBy(key, "x", "y").agg(F.min(dx * dx + dy * dy).alias("d2")))
+        near = F.coalesce(F.col("d2") <= side * side, F.lit(False)) if side <= 2 * whole else F.lit(True)
+        done.append(found.where(near).select(key, "d2"))
+        left = found.where(~near).select(key, "x", "y")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        side *= 2
+
+
 def idw(near: DataFrame, key: str) -> DataFrame:
     """Inverse-distance weighting of the anchors' values, weights 1 / max(d2, 1e-12)."""
     w = 1.0 / F.greatest(F.col("d2"), F.lit(1e-12))
@@ -46,13 +84,23 @@ def idw(near: DataFrame, key: str) -> DataFrame:
 
 
 def smooth3x3(cells: DataFrame, i: str, j: str, value: str, ni: int, nj: int) -> DataFrame:
-    """Edge-padded 3x3 mean: each cell sends its value to the cells that see it, clamped at the edges."""
-    steps = F.array(*[F.lit(s) for s in (-1, 0, 1)])
-    seen = cells.withColumn("di", F.explode(steps)).withColumn("dj", F.explode(steps))
-    # A cell beyond an edge stands for the edge cell, so edge cells count again for themselves.
-    at = lambda c, d, n: F.when((F.col(c) == 0) & (F.col(d) == 1), F.array(F.lit(0), F.lit(1))).when((F.col(c) == n - 1) & (F.col(d) == -1), F.array(F.lit(n - 1), F.lit(n - 2))).when((F.col(c) + F.col(d) < 0) | (F.col(c) + F.col(d) >= n), F.array().cast("array<int>")).otherwise(F.array(F.col(c) + F.col(d)))
-    sent = seen.withColumn("ti", F.explode(at(i, "di", ni))).withColumn("tj", F.explode(at(j, "dj", nj)))
-    return sent.groupBy(F.col("ti").alias(i), F.col("tj").alias(j)).agg((F.sum(value) / 9.0).alias("smoothed"))
+    """Edge-padded 3x3 mean, first along rows, then along columns: each pass sends a cell's sums to itself and its two neighbours.
+
+    Beyond an edge stands the edge cell. An absent or null cell counts for
+    nothing, so the mean is that of the present ones; only the cells of
+    ``cells`` come back, null where none of the nine is known.
+    """
+
+    def along(rows: DataFrame, c: str, other: str, n: int) -> DataFrame:
+        step = lambda to, own: F.struct(F.lit(to).alias("to"), F.lit(own).alias("own"))
+        # An edge cell stands for the one beyond it, too, so it counts once more for itself.
+        steps = F.concat(F.array(step(-1, 0), step(0, 1), step(1, 0)), F.when(F.col(c) == 0, F.array(step(0, 0))).otherwise(F.array()), F.when(F.col(c) == n - 1, F.array(step(0, 0))).otherwise(F.array()))
+        sent = rows.withColumn("d", F.explode(steps)).withColumn(c, F.col(c) + F.col("d.to")).where(F.col(c).between(0, n - 1))
+        return sent.groupBy(c, other).agg(F.sum("s").alias("s"), F.sum("k").alias("k"), F.max(F.when(F.col("d.own") == 1, F.col("own")).otherwise(0)).alias("own"))
+
+    rows = cells.select(i, j, F.col(value).cast("double").alias("s"), F.col(value).isNotNull().cast("int").alias("k"), F.lit(1).alias("own"))
+    out = along(along(rows, j, i, nj), i, j, ni).where("own = 1")
+    return out.select(i, j, F.when(F.col("k") > 0, F.col("s") / F.col("k")).alias("smoothed"))
 
 
 def slope(cells: DataFrame, i: str, j: str, value: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Grids at other sizes: bilinear and nearest values of the cells of a target grid.
 
-The corner cells of both grids lie on each other. A target cell asks for at
+The corner cells of both grids lie on each other, or, with ``centres``, the
+target's cell centres are laid over the source's nodes. A target cell asks for at
 most four source cells, so one equi-join on the cell's place brings its values
 together, whatever the sizes are.
 """
@@ -21,16 +22,26 @@ def _target(cells: DataFrame, ni: int, nj: int) -> DataFrame:
     return ids.select(F.floor(F.col("id") / nj).cast("int").alias("ti"), (F.col("id") % nj).cast("int").alias("tj"))
 
 
-def bilinear(cells: DataFrame, value: str, size: tuple[int, int], target: tuple[int, int]) -> DataFrame:
-    """(i, j, value) of each target cell: the weighted mean of its source cells ``i``, ``j``; null if one of a positive weight is absent or null."""
+def _centre(target: Column, n_source: int, n_target: int, reach: float) -> Column:
+    """The same for a target cell's centre, over an extent ``reach`` times the source's."""
+    return (target + 0.5) * reach / float(n_target) * float(n_source - 1)
+
+
+def bilinear(cells: DataFrame, value: str, size: tuple[int, int], target: tuple[int, int], centres: bool = False, reach: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """(i, j, value) of each target cell: the weighted mean of its source cells ``i``, ``j``; null if one that has a weight is absent or null.
+
+    With ``centres`` the target covers ``reach`` times the source's extent, and
+    centres beyond the last node continue its last slope.
+    """
+    spot = (lambda t, n, m, k: _centre(t, n, m, reach[k])) if centres else (lambda t, n, m, k: _place(t, n, m))
 
     def ends(at: Column, n: int) -> Column:
         low = F.least(F.floor(at).cast("int"), F.lit(max(n - 2, 0)))
         both = F.array(F.struct(low.alias("at"), (1.0 - (at - low)).alias("w")), F.struct((low + 1).alias("at"), (at - low).alias("w")))
-        return F.filter(both, lambda e: e["w"] > 0)
+        return F.filter(both, lambda e: e["w"] != 0)
 
     (ni, nj), (mi, mj) = size, target
-    asked = _target(cells, mi, mj).withColumn("a", F.explode(ends(_place(F.col("ti"), ni, mi), ni))).withColumn("b", F.explode(ends(_place(F.col("tj"), nj, mj), nj)))
+    asked = _target(cells, mi, mj).withColumn("a", F.explode(ends(spot(F.col("ti"), ni, mi, 0), ni))).withColumn("b", F.explode(ends(spot(F.col("tj"), nj, mj, 1), nj)))
     asked = asked.select("ti", "tj", F.col("a.at").alias("i"), F.col("b.at").alias("j"), (F.col("a.w") * F.col("b.w")).alias("w"))
     found = asked.join(cells.select("i", "j", F.col(value).cast("double").alias("v")), ["i", "j"], "left")
     whole = F.when(F.count("v") == F.count("*"), F.sum(F.col("w") * F.col("v")))

@@ -21,8 +21,8 @@ def iso_utc(ts: Column) -> Column:
 
 
 def hour_key(ts: Column) -> Column:
-    """The hour as text: 2024-01-31T05:00."""
-    return F.concat(F.substring(F.replace(ts.cast("timestamp_ntz").cast("string"), F.lit(" "), F.lit("T")), 1, 13), F.lit(":00"))
+    """The key that hourly values are looked up by, to the minute: 2024-01-31T05:30:00."""
+    return F.concat(F.substring(F.replace(ts.cast("timestamp_ntz").cast("string"), F.lit(" "), F.lit("T")), 1, 16), F.lit(":00"))
 
 
 def hours_between(later_s: Column, earlier_s: Column) -> Column:
@@ -68,8 +68,10 @@ def half_open(at: Column, start: Column, end: Column) -> Column:
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column, pad_days: int = 0) -> Column:
-    """Whether two intervals of days meet, or lie at most ``pad_days`` apart."""
-    return (F.datediff(b_start, a_end) <= pad_days) & (F.datediff(a_start, b_end) <= pad_days)
+    """Whether two intervals of days meet, or lie at most ``pad_days`` apart; a reversed one is turned round. Null if a day is unknown."""
+    known = a_start.isNotNull() & a_end.isNotNull() & b_start.isNotNull() & b_end.isNotNull()
+    apart = lambda first, second: F.datediff(F.least(*second), F.greatest(*first)) <= pad_days
+    return F.when(known, apart((a_start, a_end), (b_start, b_end)) & apart((b_start, b_end), (a_start, a_end)))
 
 
 def known_before(issue: Column, t0: Column) -> Column:

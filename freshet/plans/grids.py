@@ -72,21 +72,22 @@ _NEAR = """WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DO
     d AS (SELECT p.vec_id, a.label AS v, (p.x - a.x) * (p.x - a.x) + (p.y - a.y) * (p.y - a.y) AS d2 FROM p, a) """
 
 
-def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The anchors are the labels' centroids over the whole table."""
-    p = _points(spark, sf_dir)
+def _anchors(p: DataFrame) -> DataFrame:
+    """The labels' centroids over the whole table."""
     centre = lambda c: F.round(F.avg(c), 6).alias(c)
-    return grid.to_anchors(p, p.where("label IS NOT NULL").groupBy(F.col("label").alias("v")).agg(centre("x"), centre("y")))
+    return p.where("label IS NOT NULL").groupBy(F.col("label").alias("v")).agg(centre("x"), centre("y"))
 
 
 @query(_NEAR + "SELECT vec_id, round(sum(v / greatest(d2, 1e-12)) / sum(1.0 / greatest(d2, 1e-12)), 6) AS value FROM d GROUP BY 1")
 def idw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.idw(_near(spark, sf_dir), "vec_id")
+    p = _points(spark, sf_dir)
+    return grid.idw(grid.to_anchors(p, _anchors(p)), "vec_id")
 
 
 @query(_NEAR + "SELECT vec_id, round(sqrt(min(d2)), 6) AS distance FROM d GROUP BY 1")
 def nearest_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _near(spark, sf_dir).groupBy("vec_id").agg(F.round(F.sqrt(F.min("d2")), 6).alias("distance"))
+    p = _points(spark, sf_dir)
+    return grid.nearest(p, _anchors(p), "vec_id").select("vec_id", F.round(F.sqrt("d2"), 6).alias("distance"))
 
 
 _GRID = "SELECT (l_partkey % 20)::INT AS i, (l_suppkey % 10)::INT AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2"

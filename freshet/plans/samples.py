@@ -20,7 +20,7 @@ def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "iso", whole(F.col("iso")).alias("s_zulu"), whole(F.concat(bare, F.lit("+02:00"))).alias("s_offset"), whole(bare).alias("s_naive"))
 
 
-@query("SELECT strftime(ts, '%Y-%m-%dT%H:00') AS hour, count(*) AS n, round(min(epoch(ts)) - 192 * 3600, 3) AS first_issue_s FROM events GROUP BY 1")
+@query("SELECT strftime(ts, '%Y-%m-%dT%H:%M:00') AS hour, count(*) AS n, round(min(epoch(ts)) - 192 * 3600, 3) AS first_issue_s FROM events GROUP BY 1")
 def hour_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(times.hour_key(F.col("ts")).alias("hour"), epoch_seconds(F.col("ts")).alias("s"))
     return e.groupBy("hour").agg(F.count("*").alias("n"), F.round(times.issue_seconds(F.min("s")), 3).alias("first_issue_s"))
@@ -88,9 +88,9 @@ def grouped_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.numeric_summary(e, ["event_type"], "v")
 
 
-@query("WITH p AS (SELECT o_custkey, o_totalprice AS x, CASE WHEN o_orderkey % 3 > 0 THEN (o_orderkey % 1000)::DOUBLE END AS y FROM orders) SELECT o_custkey, count(x) FILTER (y IS NOT NULL) AS n, CASE WHEN count(y) >= 5 AND stddev_pop(y) > 0 THEN round(corr(x, y), 6) END AS pearson FROM p GROUP BY 1")
+@query("WITH p AS (SELECT o_custkey, o_totalprice AS x, CASE WHEN o_orderkey % 31 = 5 THEN NULL WHEN o_orderkey % 3 > 0 THEN (o_orderkey % 1000)::DOUBLE END AS y FROM orders) SELECT o_custkey, count(x) FILTER (y IS NOT NULL) AS n, CASE WHEN count(y) >= 5 AND stddev_pop(y) > 0 THEN round(corr(x, y), 6) END AS pearson FROM p GROUP BY 1")
 def pearson_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_totalprice").alias("x"), F.when(F.col("o_orderkey") % 3 > 0, (F.col("o_orderkey") % 1000).cast("double")).alias("y"))
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_totalprice").alias("x"), F.when(F.col("o_orderkey") % 31 == 5, float("inf")).when(F.col("o_orderkey") % 3 > 0, (F.col("o_orderkey") % 1000).cast("double")).alias("y"))
     return events.pearson(o, ["o_custkey"], "x", "y")
 
 
@@ -163,20 +163,22 @@ def sample_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.array_join(errors, ",").alias("errors"))
 
 
-@query("""WITH e AS (SELECT o_orderkey, CASE WHEN o_orderkey % 17 > 0 THEN o_orderdate::DATE END AS d, o_custkey % 3 > 0 AS inside, o_totalprice AS area, CASE WHEN o_orderkey % 5 = 0 THEN 3 ELSE 0 END AS dead, (o_orderkey % 20) * 1000 AS displaced, o_orderpriority AS cause FROM orders),
-    r AS (SELECT *, CASE WHEN d IS NULL THEN 'missing_event_dates' WHEN NOT inside AND area < 100000 THEN 'centroid_outside' WHEN area < 1000 AND dead = 0 AND displaced < 10000 THEN 'tiny_or_unconfirmed_extent' WHEN month(d) IN (1, 2) AND dead = 0 AND displaced < 10000 THEN 'winter_residual_water_cluster' END AS rejection FROM e)
+@query("""WITH e AS (SELECT o_orderkey, CASE WHEN o_orderkey % 17 > 0 THEN o_orderdate::DATE END AS d, CASE WHEN o_custkey % 11 > 0 THEN o_custkey % 3 > 0 END AS inside, CASE o_orderkey % 7 WHEN 0 THEN 'India; Bangladesh' WHEN 1 THEN 'Nigeria and Bangladesh' WHEN 2 THEN NULL ELSE 'BANGLADESH' END AS country, o_totalprice AS area, CASE WHEN o_orderkey % 5 = 0 THEN 3 ELSE 0 END AS dead, (o_orderkey % 20) * 1000 AS displaced, o_orderpriority AS cause FROM orders),
+    r AS (SELECT *, CASE WHEN d IS NULL THEN 'missing_event_dates' WHEN country IS NULL OR contains(lower(country), 'nigeria') THEN 'country_not_useful' WHEN NOT coalesce(inside, true) AND area < 100000 THEN 'centroid_outside' WHEN area < 1000 AND dead = 0 AND displaced < 10000 THEN 'tiny_or_unconfirmed_extent' WHEN month(d) IN (1, 2) AND dead = 0 AND displaced < 10000 THEN 'winter_residual_water_cluster' END AS rejection FROM e)
     SELECT coalesce(rejection, CASE WHEN month(d) IN (4, 5) THEN 'haor_premonsoon' WHEN month(d) IN (6, 7, 8, 9, 10) THEN 'monsoon_riverine' ELSE 'ok' END) AS verdict, count(*) AS n FROM r GROUP BY 1""")
 def secondary_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    quality, rejection = events.secondary_rules(F.when(k % 17 > 0, F.to_date("o_orderdate")), F.col("o_custkey") % 3 > 0, F.col("o_totalprice"), F.when(k % 5 == 0, 3).otherwise(0), k % 20 * 1000, F.col("o_orderpriority"))
+    country = F.when(k % 7 == 0, "India; Bangladesh").when(k % 7 == 1, "Nigeria and Bangladesh").when(k % 7 > 2, "BANGLADESH")
+    inside = F.when(F.col("o_custkey") % 11 > 0, F.col("o_custkey") % 3 > 0)
+    quality, rejection = events.secondary_rules(F.when(k % 17 > 0, F.to_date("o_orderdate")), country, inside, F.col("o_totalprice"), F.when(k % 5 == 0, 3).otherwise(0), k % 20 * 1000, F.col("o_orderpriority"))
     return table(spark, sf_dir, "orders").groupBy(F.coalesce(rejection, quality).alias("verdict")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate::DATE AS a, o_orderdate::DATE + (o_orderkey % 30)::INT AS z FROM orders), l AS (SELECT * FROM o WHERE o_orderkey % 2 = 0), w AS (SELECT * FROM o WHERE o_orderkey % 2 = 1),
-    m AS (SELECT l.o_custkey, l.o_orderkey, arg_min(w.o_orderkey, {'a': w.a, 'k': w.o_orderkey}) AS matched FROM l LEFT JOIN w ON l.o_custkey = w.o_custkey AND w.a - l.z <= 45 AND l.a - w.z <= 45 GROUP BY 1, 2) SELECT * FROM m""")
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate::DATE AS a, o_orderdate::DATE + (o_orderkey % 30)::INT - 5 AS z FROM orders), l AS (SELECT * FROM o WHERE o_orderkey % 2 = 0), w AS (SELECT * FROM o WHERE o_orderkey % 2 = 1),
+    m AS (SELECT l.o_custkey, l.o_orderkey, arg_min(w.o_orderkey, {'a': least(w.a, w.z), 'k': w.o_orderkey}) AS matched FROM l LEFT JOIN w ON l.o_custkey = w.o_custkey AND least(w.a, w.z) - greatest(l.a, l.z) <= 45 AND least(l.a, l.z) - greatest(w.a, w.z) <= 45 GROUP BY 1, 2) SELECT * FROM m""")
 def first_window_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("start"))
-    o = o.withColumn("end", F.date_add("start", (F.col("o_orderkey") % 30).cast("int")))
+    o = o.withColumn("end", F.date_add("start", (F.col("o_orderkey") % 30 - 5).cast("int")))
     return events.first_match(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), ["o_custkey"], "o_orderkey", "o_orderkey")
 
 
