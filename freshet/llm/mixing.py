@@ -20,8 +20,8 @@ node that its level's weight table does not list has the least weight listed
 there, and 1 where there is no table; a null or blank text has no tokens, and
 is taken with the epochs that its place falls in; a text of any length is
 counted whole; rows without an id are ordered by their text; rows with equal
-id and text are separate documents that begin at one place, so they are taken
-together; a weight of zero excludes its subtree; an empty table gives no rows.
+id and text are separate documents that follow each other, so of these, too,
+only as many are taken as begin before the budget is spent; a weight of zero excludes its subtree; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -122,7 +122,7 @@ def few_leaves(table: DataFrame) -> DataFrame:
 
 
 def cuts(slim: DataFrame, m: Mixture) -> DataFrame:
-    """(leaf, __tokens, __budget, __full, __cut): whole epochs, and the last place of the prefix of one more (null: none)."""
+    """(leaf, __tokens, __budget, __full, __cut, __last, __copies): whole epochs, the last place of the prefix of one more (null: none), and how many of the rows there it takes."""
     keys = m.keys
     leaves = scratch(slim.groupBy(*keys).agg(F.sum("__n").alias("tokens")), "leaves")
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
@@ -136,16 +136,35 @@ def cuts(slim: DataFrame, m: Mixture) -> DataFrame:
     up = Window.partitionBy(*keys)
     begun = sums.withColumn("__before", F.sum("__sum").over(up.orderBy("__bucket")) - F.col("__sum")).where("__before < __rest")
     ends = scratch(begun.groupBy(*keys).agg(F.max(F.struct("__bucket", "__before")).alias("e")).select(*keys, "e.*"), "ends")
-    inside = placed.join(few_leaves(ends), [*keys, "__bucket"]).groupBy(*keys, "__rest", "__before", "__h").agg(F.sum("__n").alias("__sum"))
+    inside = placed.join(few_leaves(ends), [*keys, "__bucket"]).groupBy(*keys, "__rest", "__before", "__h").agg(F.sum("__n").alias("__sum"), F.max("__n").alias("__each"), F.count("*").alias("__copies"))
     within = F.col("__before") + F.sum("__sum").over(up.orderBy("__h")) - F.col("__sum")
-    last = inside.withColumn("__at", within).where("__at < __rest").groupBy(*keys).agg(F.max("__h").alias("__cut"))
+    begin = F.when(F.col("__each") > 0, F.least("__copies", F.ceil((F.col("__rest") - F.col("__at")) / F.col("__each")))).otherwise(F.col("__copies"))
+    ended = F.max(F.struct(F.col("__h").alias("__cut"), begin.alias("__last"), "__copies")).alias("e")
+    last = inside.withColumn("__at", within).where("__at < __rest").groupBy(*keys).agg(ended).select(*keys, "e.*")
     return scratch(spent.join(last, keys, "left").drop("__rest"), "cuts")
 
 
 def taken(rows: DataFrame, cut: DataFrame, m: Mixture) -> DataFrame:
     """``rows`` (of ``keyed``) that the mixture takes, with ``epochs``."""
-    placed = rows.join(few_leaves(cut), m.keys)
-    return placed.withColumn("epochs", F.col("__full") + F.coalesce((place(m) <= F.col("__cut")).cast("int"), F.lit(0))).where("epochs > 0")
+    placed = rows.join(few_leaves(cut), m.keys).withColumn("__h", place(m))
+    more = F.coalesce((F.col("__h") <= F.col("__cut")).cast("int"), F.lit(0))
+    if cut.where("__last < __copies").isEmpty():
+        return placed.withColumn("epochs", F.col("__full") + more).where("epochs > 0")
+    # The prefix ends among rows of one place: these alone are numbered, in any order, as they are equal.
+    ends = F.coalesce((F.col("__h") == F.col("__cut")) & (F.col("__last") < F.col("__copies")), F.lit(False))
+    rest = placed.where(~ends).withColumn("epochs", F.col("__full") + more)
+    among = numbered(scratch(placed.where(ends), "copies"), m.keys).withColumn("epochs", F.col("__full") + (F.col("__nth") < F.col("__last")).cast("int"))
+    return rest.unionByName(among.drop("__nth")).where("epochs > 0")
+
+
+def numbered(rows: DataFrame, keys: Sequence[str], parts: int = 1024) -> DataFrame:
+    """``rows`` (a written table) with ``__nth`` from 0 within ``keys``: counted in ``parts`` and their offsets, so no task takes in a whole group."""
+    dealt = scratch(rows.withColumn("__part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")), "dealt")
+    sizes = dealt.groupBy(*keys, "__part").agg(F.count("*").alias("__size"))
+    ahead = F.sum("__size").over(Window.partitionBy(*keys).orderBy("__part")) - F.col("__size")
+    own = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(F.lit(0))) - 1
+    out = dealt.withColumn("__own", own).join(sizes.select(*keys, "__part", ahead.alias("__ahead")), [*keys, "__part"])
+    return out.withColumn("__nth", F.col("__ahead") + F.col("__own")).drop("__part", "__own", "__ahead")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ("doc_id",), **options) -> DataFrame:

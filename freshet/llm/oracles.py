@@ -66,7 +66,7 @@ def _mixing() -> str:
     f AS (SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole FROM s),
     p AS (SELECT r.*, tokens, budget, whole, budget - whole * tokens AS rest, md5(concat_ws(':', '{m.seed}', whole, coalesce(doc_id::VARCHAR, t))) || t AS h FROM r JOIN f USING ({leaf})),
     k AS (SELECT {leaf}, h, sum(sum(n)) OVER (PARTITION BY {leaf} ORDER BY h) - sum(n) AS before FROM p GROUP BY {leaf}, h),
-    e AS (SELECT p.*, (whole + (before < rest)::INT)::INT AS epochs FROM p JOIN k USING ({leaf}, h))
+    e AS (SELECT p.*, (whole + (before + n * (row_number() OVER (PARTITION BY {leaf}, h ORDER BY doc_id) - 1) < rest)::INT)::INT AS epochs FROM p JOIN k USING ({leaf}, h))
     SELECT doc_id, {leaf}, n AS n_tokens, tokens AS leaf_tokens, budget AS leaf_budget, epochs FROM e WHERE epochs > 0"""
 
 

@@ -69,6 +69,22 @@ def test_shortages_go_to_siblings_first(spark):
     assert got == {("a", "x"): 10, ("a", "y"): 217, ("b", "x"): 227}
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_a_budget_holds_with_repeated_rows(spark, seed):
+    """Half of a leaf are copies of one row: as many of them are taken as begin before the budget is spent."""
+    docs = spark.createDataFrame([(7, "w " * 10, "s")] * 500 + [(100 + i, "w " * (1 + i % 19), "s") for i in range(500)] + [(None, "v " * 30, "t")] * 40 + [(8, "", "t")] * 9, "doc_id long, text string, source string")
+    total = 500 * 10 + sum(1 + i % 19 for i in range(500)) + 40 * 30
+    options = {"levels": {"source": F.col("source")}, "weights": {}, "share": 3100 / total, "max_epochs": 4, "seed": seed}
+    got = mixing.mix(docs, **options).collect()
+    spent = defaultdict(int)
+    for r in got:
+        spent[r.source] += r.n_tokens * r.epochs
+    budget = {r.source: r.leaf_budget for r in got}
+    assert all(budget[k] <= spent[k] < budget[k] + 30 for k in budget) and abs(sum(budget.values()) - 3100) <= 2
+    rows = mixing.mixed_rows(docs, **options)
+    assert rows.count() == sum(r.epochs for r in got) and rows.select(F.sum(mixing.n_tokens(F.col("text")))).first()[0] == sum(spent.values())
+
+
 def test_mixing_odd_rows(spark):
     docs = odd_docs(spark, clash=True)
     out = mixing.mixed_rows(docs, share=2.0)
