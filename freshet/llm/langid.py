@@ -7,8 +7,9 @@ language as much as its classifier was right on that language in training.
 The nearest codeword wins; a runner-up within ``margin`` flags ambiguity.
 
 The classifiers are fitted on at most ``sample_rows`` different labelled
-texts, spread evenly over the ``max_langs`` most frequent languages; n-gram
-counts come from whole texts.
+texts, spread evenly over all languages, or one of each where there are more
+languages than that, so none is left out; a fitted row takes 16 KB of the
+driver. n-gram counts come from whole texts.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
 so is every text if there is no labelled row. A text of any length is read
@@ -45,7 +46,9 @@ def codewords(n: int, seed: int = 5) -> np.ndarray:
         bits = [(1, *rest) for rest in product((1, -1), repeat=n - 1) if -1 in rest]
         return np.array(bits).T.reshape(n, -1)
     rng, width = np.random.default_rng(seed), int(np.ceil(10 * np.log2(n)))
-    tried = [rng.choice((-1, 1), size=(n, width)) for _ in range(200)]
+    tried = [rng.choice((-1, 1), size=(n, width)) for _ in range(max(1, min(200, 10**8 // n**2 // 2)))]  # thousands of classes: one, as comparing takes their square
+    if len(tried) == 1:
+        return tried[0]
     return max(tried, key=lambda m: ((m @ m.T - 9999 * np.eye(n)).max() * -1))
 
 
@@ -96,11 +99,11 @@ class LanguageModel:
         return self.langs[order[0]], float(p[order[0]] / p.sum()), bool(loss[order[1]] - loss[order[0]] < self.margin)
 
 
-def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", sample_rows: int = 4000, max_langs: int = 1000, margin: float = 0.2) -> LanguageModel:
-    """A model of at most ``sample_rows`` rows where ``learn`` holds and text and language are not null."""
+def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", sample_rows: int = 4000, margin: float = 0.2) -> LanguageModel:
+    """A model of at most ``sample_rows`` rows, or one a language, where ``learn`` holds and text and language are not null."""
     rows = docs.where(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.withColumn("h", F.xxhash64("lang", "text"))
-    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts")).orderBy(F.col("n").desc(), "lang").limit(max_langs)
+    found = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts"))
     counts = {r.lang: r.texts for r in found.collect()}  # one number a language
     langs = sorted(counts)
     if not langs:
@@ -108,8 +111,10 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
     each = max(1, sample_rows // len(langs))
     # Different texts are drawn, about twice as many as needed, so that only these are sorted and copies crowd out nothing.
     least = {lang: min((1 << 63) - 1, int((4.0 * each / max(1, counts[lang]) - 1) * (1 << 63))) for lang in langs}
-    drawn = F.create_map(*[F.lit(x) for kv in least.items() for x in kv])[F.col("lang")]
-    rows = rows.where(F.col("h") <= drawn).dropDuplicates(["lang", "h"])
+    drawn = F.broadcast(docs.sparkSession.createDataFrame(list(least.items()), "lang string, least long"))  # a row a language
+    # The least text of a language is drawn in any case: few texts may all lie beyond a threshold.
+    first = rows.groupBy("lang").agg(F.min_by("text", "h").alias("text"), F.min("h").alias("h"))
+    rows = rows.join(drawn, "lang").where("h <= least").select("text", "lang", "h").unionByName(first.select("text", "lang", "h")).dropDuplicates(["lang", "h"])
     by = Window.partitionBy("lang").orderBy("h")
     sample = rows.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= each).select("lang", "text")
 
@@ -124,10 +129,10 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["lang", "at", "share"])
 
     got = sample.mapInArrow(count, "lang string, at array<int>, share array<float>").toArrow()
-    x, label = np.zeros((got.num_rows, BINS), dtype=np.float32), np.zeros(got.num_rows, dtype=int)
+    x, label, number = np.zeros((got.num_rows, BINS), dtype=np.float32), np.zeros(got.num_rows, dtype=int), {lang: k for k, lang in enumerate(langs)}
     for i in range(got.num_rows):
         x[i, got["at"][i].values.to_numpy()] = got["share"][i].values.to_numpy()
-        label[i] = langs.index(got["lang"][i].as_py())
+        label[i] = number[got["lang"][i].as_py()]
     return LanguageModel.fit(langs, label, x, margin)
 
 

@@ -48,6 +48,44 @@ def test_many_languages_and_none(spark):
     assert langid.identify(many, one).where("lang_pred != 'l1' OR score != 1").count() == 0
 
 
+def test_every_language_is_learnt(spark):
+    """More languages than sampled rows, each of its own letters."""
+    rng = random.Random(6)
+    rows = [(40 * k + i, " ".join("".join(rng.choice((chr(0x400 + 6 * k), chr(0x401 + 6 * k), chr(0x402 + 6 * k))) for _ in range(4)) for _ in range(20)), f"l{k:02}") for k in range(30) for i in range(40 if k % 3 else 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for sample in (20, 300):
+        model = langid.fit(docs, F.lit(True), sample_rows=sample)
+        assert model.langs == [f"l{k:02}" for k in range(30)]
+        assert np.mean([r.lang_pred == f"l{r.id // 40:02}" for r in langid.identify(docs, model).collect()]) > 0.95
+
+
+def plain_decode(model, text):
+    """Counts gram by gram, margins bit by bit, and the nearest codeword."""
+    data, mask = b" " + text.lower().encode() + b" ", 0xFFFFFFFF
+    counts = [0] * langid.BINS
+    two = [(a * 0x9E3779B1 + b * 0x85EBCA77) & mask for a, b in zip(data, data[1:], strict=False)]
+    for h in [(b * 0x165667B1) & mask for b in data] + two + [(t * 0xC2B2AE3D + c * 0x27D4EB2F) & mask for t, c in zip(two, data[2:], strict=False)]:
+        counts[h >> 20] += 1
+    n = sum(counts)
+    z = [max(-20, min(20, sum(c * float(model.weights[k, bit]) for k, c in enumerate(counts)) / n + float(model.bias[bit]))) for bit in range(model.code.shape[1])]
+    loss = [sum(float(model.trust[c, b]) * np.log1p(np.exp(-float(model.code[c, b]) * z[b])) for b in range(len(z))) for c in range(len(model.langs))]
+    order = sorted(range(len(loss)), key=lambda c: (loss[c], model.langs[c]))
+    weights = [np.exp(-2 * (v - loss[order[0]])) for v in loss]
+    return model.langs[order[0]], weights[order[0]] / sum(weights), loss[order[1]] - loss[order[0]] < model.margin
+
+
+def test_decoding_against_plain_counts(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = langid.fit(docs, F.lit(True))
+    texts = [r.text for r in docs.select("text").limit(25).collect() if r.text and len(r.text) < 4000] + ["a", "é", "日本 語", "Ab c" * 50]
+    for t in texts:
+        lang, score, ambiguous = model.predict(t)
+        want = plain_decode(model, t)
+        assert (lang, ambiguous) == (want[0], want[2]) and abs(score - want[1]) < 1e-3
+    code = langid.LanguageModel(["a", "b"], np.array([[1], [-1]]), np.zeros((langid.BINS, 1), np.float32), np.zeros(1), np.ones((2, 1)), 0.2)
+    assert code.predict("tie") == ("a", 0.5, True)  # equally near codewords: the first by name
+
+
 def test_quality_held_out(spark, sf_dir):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     rows = queries.op9_quality_classifier(spark, sf_dir).collect()
