@@ -23,13 +23,16 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from pathlib import Path
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from freshet.llm.common import FILTER_ROWS
+
 
 class HostRule(NamedTuple):
     verdict: str
@@ -50,15 +53,13 @@ HOST_RULES = (
     HostRule("block", "net", "/fr/"),
 )
 
-#: The pattern list in production; a parameter of the operator. Hosts of spam, then paths of no prose (logins, carts,
-#: searches, feeds, archives), then repeats of a page under tracking, session and paging parameters.
-PATTERNS = (
-    "/wp-login.", "/wp-admin/", "/login^", "/signin^", "/register^", "/cart/", "/checkout/", "/search?", "/feed/", "/rss.xml|", "/tag/", "/author/", "/cgi-bin/",
-    "^utm_source=", "^utm_medium=", "^utm_campaign=", "^fbclid=", "^gclid=", "^sessionid=", "^phpsessid=", "^jsessionid=", "^replytocom=", "^page=", "^print=1^", "^sort=",
-    "@@||docs.*^page=", "@@||archive.*^page=",
-    "||cheap-pills.", "||spam-farm.", "||buy-followers.", "||free-casino.", "||casino-bonus.", "||click-bait.", "||adserver.", "||malware.",
-    "/online-casino/", "/payday-loans/", "/cheap-meds^", "/adult-chat^", "/porn^", "/xxx^", "^affid=*^utm_campaign=spam^", "@@||docs.*/adult-chat^",
-)
+def listed(lines: Iterable[str]) -> list[str]:
+    """The patterns of a list's lines; those that are blank or begin with ``!`` do not count."""
+    return [x for line in lines if (x := line.strip()) and not x.startswith("!")]
+
+
+#: The list in production, a file beside this module; tracking and paging parameters alone are no reason to block.
+RULE_FILE = Path(__file__).with_name("url_rules.txt")
 
 
 class Pattern(NamedTuple):
@@ -97,16 +98,26 @@ def url_tokens(url: str | None) -> set[str]:
     return set(re.findall(r"[a-z0-9]+", (url or "").lower()))
 
 
+#: The patterns of production.
+PATTERNS = tuple(listed(RULE_FILE.read_text(encoding="utf-8").splitlines()))
+
+
 class UrlFilter:
-    """The rules, indexed: hosts by name, patterns by rarest token."""
+    """The rules, indexed: hosts by name, patterns by rarest token. Regular expressions are compiled when they first run."""
 
     def __init__(self, hosts: Sequence[HostRule], patterns: Sequence[str], seen: dict[str, int]):
         self.hosts: dict[str, list[HostRule]] = defaultdict(list)
         for r in sorted(hosts, key=lambda r: -len(r.name)):
             self.hosts[r.host].append(r)
-        self.by_token: dict[str, list[tuple[Pattern, re.Pattern]]] = defaultdict(list)
+        self.by_token: dict[str, list[Pattern]] = defaultdict(list)
         for p in map(compiled, patterns):
-            self.by_token[min(p.tokens, key=lambda t: (seen.get(t, 0), t), default="")].append((p, re.compile(p.regex, re.DOTALL)))
+            self.by_token[min(p.tokens, key=lambda t: (seen.get(t, 0), t), default="")].append(p)
+        self.ready: dict[str, re.Pattern] = {}
+
+    def matches(self, p: Pattern, low: str) -> bool:
+        if p.regex not in self.ready:
+            self.ready[p.regex] = re.compile(p.regex, re.DOTALL)
+        return bool(self.ready[p.regex].search(low))
 
     def rule(self, host: str, path: str) -> HostRule | None:
         labels, found = host.split(".") if host else [], []
@@ -117,28 +128,32 @@ class UrlFilter:
     def pattern(self, url: str | None) -> Pattern | None:
         """The first exception that matches, or else the first block, by list order of the candidates' text."""
         low = (url or "").lower()
-        hits = [p for t in ("", *url_tokens(low)) for p, r in self.by_token.get(t, ()) if r.search(low)]
+        hits = [p for t in ("", *url_tokens(low)) for p in self.by_token.get(t, ()) if self.matches(p, low)]
         return min(hits, key=lambda p: (p.block, p.text), default=None)
 
 
 def load_patterns(spark: SparkSession, path: str) -> list[str]:
-    """The patterns of a text file, one a line; lines that are blank or begin with ``!`` do not count."""
-    lines = (r.value.strip() for r in spark.read.text(path).collect())  # the rule list, not the corpus
-    return [x for x in lines if x and not x.startswith("!")]
+    """The patterns of a text file that Spark reads, one a line."""
+    return listed(r.value for r in spark.read.text(path).collect())  # the rule list, not the corpus
 
 
 def token_counts(pages: DataFrame, url_col: str, tokens: Sequence[str]) -> dict[str, int]:
     """In how many urls each of the rules' tokens stands: one number per token of the list."""
+    if not tokens:
+        return {}
+    wanted = pages.sparkSession.createDataFrame([(t,) for t in tokens], "token string")
     found = pages.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(url_col)), F.lit("[a-z0-9]+"), 0))).alias("token"))
-    return dict(found.where(F.col("token").isin(*tokens)).groupBy("token").count().collect()) if tokens else {}
+    return dict(found.join(F.broadcast(wanted) if len(tokens) <= FILTER_ROWS else wanted, "token", "left_semi").groupBy("token").count().collect())
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", hosts: Sequence[HostRule] = HOST_RULES, patterns: Sequence[str] = PATTERNS) -> DataFrame:
-    """(id, host, path, rule, verdict, pattern) for each row of ``pages``."""
-    index = UrlFilter(hosts, patterns, token_counts(pages, url_col, sorted({t for p in patterns for t in compiled(p).tokens})))
+    """(id, host, path, rule, verdict, pattern) for each row of ``pages``; the index is broadcast, its size is the list's."""
+    seen = token_counts(pages, url_col, sorted({t for p in patterns for t in compiled(p).tokens}))
+    sent = pages.sparkSession.sparkContext.broadcast(UrlFilter(hosts, patterns, seen))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
         for b in batches:
             out: list[tuple] = []
             for u in b.column("url").to_pylist():

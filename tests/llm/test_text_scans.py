@@ -150,7 +150,7 @@ def test_urls(spark, sf_dir):
 
 
 def test_url_index_loses_no_pattern(spark):
-    odd = [None, "", "no scheme", "http://", "HTTP://EXAMPLE.COM/EN/x?y#z", "http://a.net/es/", "http://net/fr/1", "http://x.org?/es/", "http://user@www.example.com/en/", "http://cheap-pills.biz/a", "http://www.cheap-pills.biz", "http://b.org/x/online-casino/y", "http://b.org/porn", "http://b.org/pornography", "http://docs.b.org/adult-chat", "http://b.org/adult-chat?q", "ftp://adserver.foo.org/x", "http://b.org/?affid=3&utm_campaign=spam", "http://b.org/?affid=3&utm_campaign=spammer"]
+    odd = [None, "", "no scheme", "http://", "HTTP://EXAMPLE.COM/EN/x?y#z", "http://a.net/es/", "http://net/fr/1", "http://x.org?/es/", "http://user@www.example.com/en/", "http://cheap-pills.biz/a", "http://www.cheap-pills.biz", "http://adult-education.org/porn/", "http://b.org/x/online-casino/y", "http://b.org/porn", "http://b.org/pornography", "http://docs.b.org/adult-chat", "http://b.org/adult-chat?q", "ftp://adserver.foo.org/x", "http://b.org/?affid=3&utm_campaign=spam", "http://b.org/?affid=3&utm_campaign=spammer"]
     patterns = [*url_filter.PATTERNS, "|http://b.org/|", "*casino*", "pills", "^x^"]
     pages = spark.createDataFrame(list(enumerate(odd)) + [(4, odd[4]), (None, odd[5])], "page_id long, url string").withColumn("id", F.lit(1)).withColumn("host", F.lit(2))
     for r in url_filter.judge(pages, patterns=patterns).collect():
@@ -159,6 +159,41 @@ def test_url_index_loses_no_pattern(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+#: Each pattern with a regular expression written by hand.
+BY_HAND = {
+    "||ads.": r"^[a-z][a-z0-9+.-]*://([^/?#]*[.@])?ads\.", "|http://a.b/c|": r"^http://a\.b/c$", "/rss.xml|": r"/rss\.xml$", "/login^": r"/login([^a-z0-9_.%-]|$)", "^q=*^r=": r"([^a-z0-9_.%-]|$)q=.*([^a-z0-9_.%-]|$)r=",
+    "pills": "pills", "/x?y+(z)": r"/x\?y\+\(z\)", "@@||docs.*/Chat^": r"^[a-z][a-z0-9+.-]*://([^/?#]*[.@])?docs\..*/chat([^a-z0-9_.%-]|$)", "*": "", "^": r"([^a-z0-9_.%-]|$)",
+}
+
+
+def test_patterns_mean_what_is_written_by_hand():
+    rng = random.Random(12)
+    parts = ["http://", "a.b", "ads.", "x.ads.", "bads.", "/c", "/login", "?q=", "&r=", "docs.", "/chat", "/chats", "/rss.xml", "pills", "/x?y+(z)", "#", "@", "_", "%20", "\n"]
+    urls = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 7))) for _ in range(3000)] + ["http://a.b/c", "http://ads.x", "http://a.b/login", "http://u@ads.x/", "http://docs.a/b/chat", "http://a/?q=1&r=2"]
+    for pattern, regex in BY_HAND.items():
+        mine = url_filter.compiled(pattern)
+        for u in urls:
+            hit = bool(re.search(regex, u, re.DOTALL))
+            assert bool(re.search(mine.regex, u, re.DOTALL)) == hit, (pattern, u)
+            assert not hit or set(mine.tokens) <= url_filter.url_tokens(u), (pattern, u)  # the index can rely on the tokens
+
+
+def test_the_list_in_use_blocks_hosts_not_parameters(spark, sf_dir):
+    index = url_filter.UrlFilter((), url_filter.PATTERNS, {})
+    blocked = ["https://blog.adult-x.example.net/en/1", "http://m.casino-win.example.com/en/4033.html", "https://free-bets.example.com/en/5#top", "https://www.cheap-pills.example.com/de/6", "http://www.spam-farm.example.com/a", "https://m.ads-track.example.com/en/9", "http://shop.org/cart/7", "http://a.org/search?q=x"]
+    kept = ["http://a.example.net/en/7817?utm_source=feed", "https://a.example.com/en/7944?page=2&ref=x", "http://a.org/article?utm_medium=mail&fbclid=1&sort=new", "http://readspam.org/adults", "http://heads.org/pads.html", "http://adult-education.org/course", "http://a.org/logins", "http://a.org/casino-history"]
+    assert [bool((p := index.pattern(u)) and p.block) for u in blocked + kept] == [True] * len(blocked) + [False] * len(kept)
+    rows = queries.op8_url_filter(spark, sf_dir).where("rule IS NULL").collect()
+    assert {r.host.split(".example")[0].split(".")[-1] for r in rows if r.verdict == "block"} <= {"adult-x", "casino-win", "free-bets", "cheap-pills", "spam-farm", "ads-track"}
+
+
+def test_a_hundred_thousand_rules(spark):
+    patterns = [f"||host{i}." if i % 2 else f"/path{i}/*^item^" for i in range(100_000)]
+    urls = ["http://www.host77777.org/", "http://a.org/path4/x?item", "http://a.org/path5/x?item", "http://host4.org/"]
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), patterns=patterns).collect()
+    assert [r.verdict for r in sorted(got, key=lambda r: r.id)] == ["block", "block", "allow", "allow"]
+
+
 def test_only_fetched_patterns_run(spark, monkeypatch):
     """Thousands of patterns: each url runs few of them, and verdicts depend on them."""
     patterns = [f"/topic{i}/*^item{i % 7}^" for i in range(3000)] + ["||ads7."]
