@@ -36,7 +36,7 @@ from freshet.llm.license_templates import BASE, NOTICES, Template
 
 #: Fixed value: the words of the contract, after A-Z has been lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD, _GAP = re.compile(WORD), re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]")
+_WORD, _GAP = re.compile(WORD), re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")  # between words, before A-Z is lower-cased
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 PLACES = "array<struct<label: string, base: boolean, start: long, share: double>>"
