@@ -46,6 +46,21 @@ def average_precision(scored: DataFrame) -> DataFrame:
     return t.agg(F.when(F.sum("pos") > 0, F.round(F.sum(F.col("pos") * F.col("tp") / F.col("seen")) / F.sum("pos"), 6)).alias("average_precision"))
 
 
+def rank_correlation(rows: DataFrame, x: str, y: str, key: str, least: float = 0.1) -> DataFrame:
+    """One row (n, rank_correlation, informative): the correlation of ordinal ranks, of ties by ``key``, over rows whose two values are known and finite.
+
+    Both orders are counted in ranges, so any number of rows is ranked. Null
+    for two rows or fewer; ``informative`` says that it exceeds ``least``.
+    """
+    known = rows.select(*[F.col(c).cast("double").alias(n) for c, n in ((x, "x"), (y, "y"))], F.col(key).alias("k"))
+    for c in ("x", "y"):
+        known = known.where(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf")))
+    for c in ("x", "y"):
+        known = prefix.running(known.withColumn("o", F.struct(c, "k")).withColumn("one", F.lit(1)), "o", ["one"]).withColumnRenamed("before_one", f"rank_{c}").drop("o", "one", "total_one")
+    r = F.when(F.count("*") > 2, F.round(F.corr("rank_x", "rank_y"), 6))
+    return known.agg(F.count("*").alias("n"), r.alias("rank_correlation")).withColumn("informative", F.coalesce(F.col("rank_correlation") > least, F.lit(False)))
+
+
 def calibration_error(scored: DataFrame, bins: int = 10, limit: float = 0.1) -> DataFrame:
     """Expected calibration error over the bins of ``reliability``, weighted by rows, and whether it is within ``limit``; null without rows."""
     b = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1))
