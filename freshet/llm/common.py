@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,11 +86,24 @@ def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
     return F.broadcast(rows.sparkSession.createDataFrame(found, hot.schema)) if found else None
 
 
-def join_hot(rows: DataFrame, few: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
-    """The inner join of ``rows`` and ``few`` (one row a key) on ``key``; the ``hot_keys`` of ``rows`` are broadcast, so that no task gets all rows of one."""
+def hottest(counts: DataFrame, keys: str | Sequence[str], n: str = "c") -> DataFrame | None:
+    """As ``hot_keys``, from a written table of keys and their numbers of rows."""
+    total = counts.agg(F.sum(n)).first()[0]
+    hot = counts.where(F.col(n) * 1000 > total).select(*([keys] if isinstance(keys, str) else keys)) if total else None
+    found = hot.collect() if total else []
+    return F.broadcast(counts.sparkSession.createDataFrame(found, hot.schema)) if found else None
+
+
+def join_hot(rows: DataFrame, few: DataFrame, key: str | Sequence[str], hot: DataFrame | None, more: Sequence[str] = ()) -> DataFrame:
+    """The inner join of ``rows`` and ``few`` on ``key`` and the columns in ``more``; the ``hot_keys`` of ``rows`` are broadcast, so that no task gets all rows of one.
+
+    ``few`` has one row for each of these, and few for one key.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    on = [*keys, *more]
     if hot is None:
-        return rows.join(few, key)
-    return rows.join(F.broadcast(few.join(hot, key)), key).unionByName(rows.join(hot, key, "left_anti").join(few, key))
+        return rows.join(few, on)
+    return rows.join(F.broadcast(few.join(hot, keys)), on).unionByName(rows.join(hot, keys, "left_anti").join(few, on))
 
 
 #: Most rows of a broadcast filter: one long each.

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from freshet.llm.common import discard, join_few, only_near, scratch
+from freshet.llm.common import discard, hot_keys, hottest, join_few, join_hot, only_near, scratch
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, wanted: DataFrame | None = None) -> DataFrame:
@@ -97,10 +97,14 @@ def without(w: Column, at: Column) -> Column:
     return F.when(at == 0, F.array_join(w, " ")).otherwise(F.array_join(F.concat(F.slice(w, 1, at - 1), F.slice(w, at + 1, F.size(w))), " "))
 
 
+#: Most characters of a line that is broadcast to its many near lines (a thousand such lines at most); longer ones are joined like any other.
+SHORT = 10_000
+
+
 def near_lines(source: DataFrame) -> DataFrame:
     """(lid, kept): lines of ``source`` (lid, first, line) with an earlier line within one edit, and the earliest such."""
     v_all = v = scratch(variants(source), "variants")
-    keys = scratch(v.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "keys")
+    keys = scratch(v.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "keys")
     v = only_near(v, F.col("key"), keys, F.col("key"))
     mine = F.struct("first", "lid", "at")
     at_place = v.groupBy("key", "at").agg(F.min(mine).alias("least"), F.count("*").alias("c"))
@@ -108,15 +112,19 @@ def near_lines(source: DataFrame) -> DataFrame:
     shared = at_place.drop("c").join(by_key.where("c > 1").drop("c"), "key")
     best = F.when(F.col("at") == 0, F.col("parts")).otherwise(F.least("least", "wholes"))
     shared = scratch(shared.select("key", "at", best.alias("best")), "shared")
-    found = v.join(shared, ["key", "at"]).where("best.first < first")
+    # Lines of one template share a variant; those are spread, and so are the many near lines of one earliest line below.
+    found = join_hot(v, shared, "key", hottest(keys, "key"), ["at"]).where("best.first < first")
     pairs = found.select("lid", F.col("best.lid").alias("other"), F.struct("at", F.col("best.at").alias("other_at")).alias("p"), F.col("best.first").alias("kept"))
     # One place is enough to verify two lines, however many give the same variant: each pair's words move once.
-    pairs = pairs.groupBy("lid", "other", "kept").agg(F.min("p").alias("p")).select("lid", "other", "kept", "p.at", "p.other_at")
+    pairs = scratch(pairs.groupBy("lid", "other", "kept").agg(F.min("p").alias("p")).select("lid", "other", "kept", "p.at", "p.other_at"), "line-pairs")
     w = source.select("lid", F.split("line", " ").alias("w"))
-    checked = pairs.join(w, "lid").join(w.select(F.col("lid").alias("other"), F.col("w").alias("other_w")), "other")
+    short = source.where(F.length("line") <= SHORT).select(F.col("lid").alias("other"))
+    hot = hot_keys(pairs, "other")
+    hot = hot if hot is None else F.broadcast(short.join(hot, "other"))
+    checked = join_hot(pairs.join(w, "lid"), w.select(F.col("lid").alias("other"), F.col("w").alias("other_w")), "other", hot)
     checked = checked.where(without(F.col("w"), F.col("at")) == without(F.col("other_w"), F.col("other_at")))
     near = scratch(checked.groupBy("lid").agg(F.min("kept").alias("kept")), "near")
-    discard(v_all, keys, shared)
+    discard(v_all, keys, shared, pairs)
     return near
 
 
@@ -129,16 +137,17 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = scratch(seen.groupBy("lid").agg(F.min("place").alias("first"), F.count("*").alias("c"), F.first("halves").alias("halves")), "lines")
     # A short stand-in for the line id: two lines with the same one only pass the filter together.
     halves = classes.select(F.xxhash64("lid").alias("short"), F.explode("halves").alias("half"))
-    common = scratch(halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half"), "halves")
-    close = scratch(only_near(halves, F.col("half"), common, F.col("half")).join(common, "half").select("short").distinct(), "close")
+    common = scratch(halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1"), "halves")
+    close = scratch(join_hot(only_near(halves, F.col("half"), common, F.col("half")), common.select("half"), "half", hottest(common, "half")).select("short").distinct(), "close")
     near_classes = only_near(classes, F.xxhash64("lid"), close, F.col("short")).withColumn("short", F.xxhash64("lid")).join(close, "short")
     wanted = scratch(near_classes.select("lid", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "first"), "wanted")
     words_of = lines(docs, id_col, text_col, min_words, wanted).select("doc", "at", "line").join(wanted, ["doc", "at"])
     source = scratch(words_of.groupBy("lid").agg(F.first("first").alias("first"), F.first("line").alias("line")), "near-lines")  # repeated rows: once
     near = near_lines(source)
     judged = scratch(classes.join(near, "lid", "left").where("c > 1 OR kept IS NOT NULL").select("lid", "first", F.col("kept").isNotNull().alias("near")), "judged")
+    hot = hottest(classes, "lid")
     discard(classes, common, close, wanted, source, near)
-    all_places = only_near(seen.select("lid", "place"), F.xxhash64("lid"), judged, F.xxhash64("lid")).join(judged, "lid")
+    all_places = join_hot(only_near(seen.select("lid", "place"), F.xxhash64("lid"), judged, F.xxhash64("lid")), judged, "lid", hot)
     return all_places.where(F.col("near") | (F.col("place") != F.col("first"))).select("place.doc", "place.at", "near").distinct()
 
 

@@ -203,3 +203,46 @@ def test_mixing_of_unlisted_nodes_and_ties(spark):
     once = sorted(str(r) for r in mixing.mix(docs, **options).collect())
     assert once == sorted(str(r) for r in mixing.mix(docs.repartition(7), **options).collect())
     assert mixing.mixed_rows(docs.withColumn("row", F.lit(1)), **options).columns == [*docs.columns, "row"]
+
+
+def plain_counts(docs, least=5):
+    """{id: (lines, equal ones that go, near ones that go)}: a line is judged by its words' first place."""
+    first = {}
+    for i, text in sorted(docs):
+        for at, line in enumerate(text.split("\n")):
+            if words(line):
+                first.setdefault(tuple(words(line)), (i, at))
+    near = {w for w, p in first.items() if len(w) >= least and any(q < p and len(v) >= least and one_edit(list(v), list(w)) for v, q in first.items() if v != w and abs(len(v) - len(w)) < 2)}
+    out = {}
+    for i, text in docs:
+        each = [(tuple(words(x)), (i, at)) for at, x in enumerate(text.split("\n")) if words(x)]
+        out[i] = (text.count("\n") + 1, sum(w not in near and p != first[w] for w, p in each), sum(w in near for w, _ in each))
+    return out
+
+
+def test_hot_lines_templates_and_counts(spark):
+    """A line in most documents, hundreds of lines of one template, near ones of one earliest line: spread, with the same result."""
+    docs = [(i, f"the same line stands in all\npage {i} of the long report\nshort\n" + ("a line of its own words %d %d\n" % (i, 7 * i)) + f"the same line stands in {i} all" + ("\npage of the long report" if i % 50 == 3 else "")) for i in range(1200)]
+    docs.append((5000, "the same line stands in none\n" + "w " * 4000 + "end\n" + "w " * 4000 + "other"))
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    got = line_dedup.dedup(table, exact_words=1).collect()
+    assert {r.row.doc_id: r.row.text for r in got} == plain_short_dedup_fast(docs)
+    assert {r.row.doc_id: (r.n_lines, r.n_exact, r.n_near) for r in got} == plain_counts(docs)
+
+
+def plain_short_dedup_fast(docs, least=5):
+    """As plain_short_dedup, over distinct lines."""
+    equal, near, verdict, out = set(), [], {}, {}
+    for i, text in sorted(docs):
+        kept = []
+        for line in text.split("\n"):
+            w = tuple(words(line))
+            if w and w not in equal:
+                verdict[w] = len(w) >= least and any(abs(len(w) - len(s)) < 2 and one_edit(list(w), list(s)) for s in near)
+                if len(w) >= least:
+                    near.append(w)
+            if not w or (w not in equal and not verdict[w]):
+                kept.append(line)
+            equal.add(w)
+        out[i] = "\n".join(kept)
+    return out
