@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm import shingles
-from freshet.llm.common import discard, hot_keys, join_hot, only_near, scratch
+from freshet.llm.common import discard, hot_keys, hottest, join_hot, only_near, scratch
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -144,12 +144,12 @@ def links(fps: DataFrame, radius: int = 4, tree_rows: int = 1024, n: int | None
     masks = shard_masks(fps.count() if n is None else n, radius)
     entry = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("part")) for i, m in enumerate(masks)]))
     entries = fps.select("fp", entry.alias("e")).select("fp", "e.band", "e.part")
-    sizes = entries.groupBy("band", "part").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = scratch(entries.groupBy("band", "part").agg(F.count("*").alias("size")).where("size > 1"), "shards")
     chunks = F.ceil(F.col("size") / tree_rows)
     own = F.pmod(F.xxhash64("fp"), F.col("chunks"))
     cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), (F.col("own") > j).alias("asks")))
     dealt = (
-        entries.join(sizes, ["band", "part"]).withColumn("chunks", chunks).withColumn("own", own)
+        join_hot(entries, sizes, ["band", "part"], hottest(sizes, ["band", "part"], "size")).withColumn("chunks", chunks).withColumn("own", own)
         .select("fp", "band", "part", F.explode(cells).alias("c")).select("fp", "band", "part", "c.i", "c.j", "c.asks")
         .repartition("band", "part", "i", "j").sortWithinPartitions("band", "part", "i", "j", "asks", "fp")
     )
