@@ -7,7 +7,7 @@ entries are reranked by exact cosine in double precision.
 
 The codebooks are fitted on a bounded sample (``sample_rows``); every row is
 indexed. How many entries a walk must pass is measured on that sample too: the
-share of its rows that reaches ``target_recall`` there (0.95, as the sample errs). Data with structure
+share of its rows that reaches ``target_recall`` there (0.95, as the sample errs), by whole walks of some of its rows, which run as tasks. Data with structure
 get short walks, data without get long ones.
 
 Defined results: vectors that are null, zero, of another length than most of
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from freshet.llm.common import bounded_sample, scratch
@@ -91,24 +91,33 @@ class MultiIndex:
         return d1.argmin(1) * len(self.c2) + d2.argmin(1)
 
     @classmethod
-    def fit(cls, x: np.ndarray, centroids: int, k: int, target_recall: float, seed: int, trials: int = 512) -> MultiIndex:
+    def fit(cls, spark: SparkSession, x: np.ndarray, centroids: int, k: int, target_recall: float, seed: int, trials: int = 512) -> MultiIndex:
         unit, dim = _unit(x), x.shape[1]
         half = dim // 2
         made = cls(_kmeans(unit[:, :half], centroids, seed), _kmeans(unit[:, half:], centroids, seed + 1), dim, 1.0)
-        counts = np.bincount(made.cell_of(unit), minlength=made.cells)
         cell, asked = made.cell_of(unit), min(trials, len(unit))
+        counts = np.bincount(cell, minlength=made.cells)
         near = unit[:asked] @ unit.T
         near[np.arange(asked), np.arange(asked)] = -2
         k = min(k, len(unit) - 1)
         if k < 1:
             return made
         best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        d1, d2 = made.halves(unit[:asked])
-        needed = []
-        for i in range(asked):
-            order = walk(d1[i], d2[i], counts, np.inf)
-            passed = dict(zip(order, np.cumsum(counts[order]).tolist(), strict=True))
-            needed += [passed[int(cell[j])] for j in best[i]]
+        trial = spark.sparkContext.broadcast((unit[:asked], counts, cell[best]))  # of the sample's size
+
+        def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """How many entries a whole walk passes up to the cells of each trial's nearest rows."""
+            x, counts, cells = trial.value
+            for b in batches:
+                needed = []
+                for i in b.column("id").to_pylist():
+                    d1, d2 = made.halves(x[i : i + 1])
+                    order = walk(d1[0], d2[0], counts, np.inf)
+                    upto = dict(zip(order, np.cumsum(counts[order]).tolist(), strict=True))
+                    needed += [upto[int(c)] for c in cells[i]]
+                yield pa.RecordBatch.from_arrays([pa.array(needed, pa.int64())], ["passed"])
+
+        needed = spark.range(0, asked, 1, min(asked, 64)).mapInArrow(passed, "passed long").toArrow()["passed"].to_numpy()  # k numbers a trial
         made.share = min(1.0, float(np.quantile(needed, target_recall)) / len(unit))
         return made
 
@@ -137,7 +146,7 @@ def nearest(
         centroids = min(512, max(16, round(4 * rows.count() ** 0.25)))
     lengths = [len(v) for v in sample]
     dim = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    index = MultiIndex.fit(np.array([v for v in sample if len(v) == dim], dtype=np.float64), centroids, k, target_recall, seed)
+    index = MultiIndex.fit(spark, np.array([v for v in sample if len(v) == dim], dtype=np.float64), centroids, k, target_recall, seed)
     rows = rows.where(F.size("v") == dim)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
