@@ -9,8 +9,8 @@ expression, which scores whole texts without Python.
 The forest and the weights are fitted on at most ``sample_rows`` labelled rows
 (the least by a hash of id and label).
 
-Defined results: null and blank texts have all statistics zero and are scored
-like any other; a text of any length is counted whole; equal labels of one id
+Defined results: null and blank texts have no words, count as one word of one
+character where a share is taken, and are scored like any other; a text of any length is counted whole; equal labels of one id
 count once, different ones are learnt from both, and so are all documents of a
 repeated id; other columns are not looked at; labels that are null or whose document is missing are not
 learnt from; with no labelled row every score is 0.5, with labels of one class

@@ -1,9 +1,10 @@
 """Language ID, quality classifier, multi-index: held-out accuracy, recall against brute force, odd rows."""
 
+import math
 import random
 
 import numpy as np
-from helpers import DOCS, empty_docs, fold, odd_docs
+from helpers import DOCS, ODD, empty_docs, fold, odd_docs, words
 from pyspark.sql import functions as F
 
 from freshet.llm import langid, multi_index, queries, rule_ensemble
@@ -95,6 +96,36 @@ def test_quality_held_out(spark, sf_dir):
     assert np.mean([p == y for p, y in test]) > min(0.97, base + 0.1)
 
 
+def plain_statistics(text):
+    text = text or ""
+    w = words(text)
+    n, c = max(1, len(w)), max(1, sum(x not in " \t\n\x0b\x0c\r" for x in text))
+    lines = text.split("\n")
+    share = lambda chars: sum(x in chars for x in text) / c
+    return {
+        "s_log_words": math.log1p(len(w)), "s_word_length": c / n, "s_distinct_words": len(set(w)) / n, "s_doubled_words": sum(a == b for a, b in zip(w, w[1:], strict=False)) / n,
+        "s_symbols": share("#*$%&|<>"), "s_pipes": share("|"), "s_digits": share("0123456789"), "s_stops": share(".,;:!?"), "s_capitals": share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "s_line_words": n / len(lines),
+        "s_short_words": sum(len(x) <= 3 for x in w) / n, "s_long_words": sum(len(x) >= 15 for x in w) / n, "s_distinct_lines": len(set(lines)) / len(lines),
+    }
+
+
+def test_a_fitted_ensemble_against_plain_rules(spark, sf_dir):
+    """Statistics and scores of odd, long and ordinary texts, rule by rule."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model, names = rule_ensemble.train(docs, labels, F.lit(True))
+    assert model.weights
+    texts = [*ODD, "word " * 200_000, *[r.text for r in docs.orderBy("doc_id").limit(60).collect()], "# | 5 A." * 30 + "\n" * 9]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("label", F.lit(7)).withColumn("score", F.lit("x"))
+    stats, _ = rule_ensemble.statistics(rows.select("doc_id", "text"), F.col("text"))
+    for r in stats.collect():
+        plain = plain_statistics(texts[r.doc_id])
+        assert set(plain) == set(names) and all(abs(r[k] - v) < 1e-9 for k, v in plain.items()), (texts[r.doc_id] or "")[:40]
+    for r in rule_ensemble.score(rows, model).collect():
+        plain = plain_statistics(texts[r.id])
+        total = model.intercept + sum(v for rule, v in model.weights.items() if all((plain[k] <= at) == below for k, below, at in rule.terms))
+        assert abs(r.score - 1 / (1 + math.exp(-total))) < 1e-9
+
+
 def test_rules_are_compiled_conjunctions(spark):
     rows = spark.createDataFrame([(float(i % 10), float(i % 7), int(i % 10 > 6 and i % 7 < 3)) for i in range(700)], "s_a double, s_b double, label int")
     model = rule_ensemble.fit(rows, ["s_a", "s_b"], trees=5)
