@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.operators import platform
+from freshet.operators import events, platform
 from freshet.plans.registry import query
 from freshet.sources.tables import epoch_seconds, table
 
@@ -70,8 +70,7 @@ _SPLIT = "SELECT o_orderkey, o_custkey, CASE WHEN year(o_orderdate) <= 1995 THEN
 
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    year = F.year("o_orderdate")
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.when(year <= 1995, "train").when(year == 1996, "val").otherwise("test").alias("split"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", events.temporal_split(F.year("o_orderdate"), 1995, 1996).alias("split"))
 
 
 @query(f"SELECT split, count(*) AS n, count(DISTINCT o_custkey) AS n_customers FROM ({_SPLIT}) GROUP BY 1")
@@ -82,7 +81,7 @@ def temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT o_custkey, count(DISTINCT split) AS n_splits FROM ({_SPLIT}) GROUP BY 1 HAVING count(DISTINCT split) > 1")
 def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units in more than one split."""
-    return _split(spark, sf_dir).groupBy("o_custkey").agg(F.countDistinct("split").alias("n_splits")).where("n_splits > 1")
+    return events.straddling(_split(spark, sf_dir), "o_custkey", "split")
 
 
 @query("SELECT c_custkey, 'never ordered' AS state FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT c_custkey, 'ordered' FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
