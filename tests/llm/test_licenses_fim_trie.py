@@ -195,7 +195,7 @@ def test_trie_with_odd_rows(spark):
     check_trie(spark, rows, conv=1, key=2, depth=3, d=4, up=5)
 
 
-def test_trie_of_deep_hot_conversations(spark):
+def test_trie_of_deep_hot_conversations(spark, many_ranges):
     """One conversation holds a third of all turns, many share a long head, many end at one node."""
     deep = [("user" if t % 2 else "assistant", f"turn {t % 7} of it") for t in range(300)]
     rows = [(c, t, *deep[t]) for c, n in ((0, 300), (40, 300), (60, 131), (80, 64), (100, 65), (120, 63), (140, 128)) for t in range(n)]
