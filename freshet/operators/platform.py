@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from freshet.operators.hot import PART, Ranges, split_by_size
+
 
 def risk_score(probability: Column, exposure: Column, severity: Column) -> Column:
     """The product; null unless all three are within 0 and 1."""
@@ -33,15 +35,30 @@ def horizon_confidence(hours: Column) -> Column:
 
 def alert_transitions(readings: DataFrame, key: str, order_by: str, verdict: Column) -> DataFrame:
     """``transition``: TRIGGERED or RESET where the last known verdict changes; an unknown verdict holds the state."""
-    rows = readings.withColumn("__verdict", verdict).where("__verdict IS NOT NULL")
-    before = F.lag("__verdict", 1, False).over(Window.partitionBy(key).orderBy(order_by))
+
+    def plain(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("__before", F.lag("__verdict", 1, False).over(Window.partitionBy(key).orderBy(order_by)))
+
+    def ranged(rows: DataFrame) -> DataFrame:
+        r = Ranges(rows, [key], [order_by])
+        held = r.carry(r.rows, {"__last": F.max_by("__verdict", F.struct(F.col(order_by).isNotNull(), order_by))}, {"__last": F.last})
+        return held.withColumn("__before", F.coalesce(F.lag("__verdict").over(r.own), "__last", F.lit(False))).drop("__last", PART)
+
+    rows = split_by_size(readings.withColumn("__verdict", verdict).where("__verdict IS NOT NULL"), [key], plain, ranged)
+    before = F.col("__before")
     change = F.when(F.col("__verdict") & ~before, "TRIGGERED").when(~F.col("__verdict") & before, "RESET")
-    return rows.withColumn("transition", change).where("transition IS NOT NULL").drop("__verdict")
+    return rows.withColumn("transition", change).where("transition IS NOT NULL").drop("__verdict", "__before")
 
 
 def rate_limited(rows: DataFrame, key: list[str], order_by: str, most: int) -> DataFrame:
     """``allowed``: whether the row is among its key's first ``most``."""
-    return rows.withColumn("allowed", F.row_number().over(Window.partitionBy(*key).orderBy(order_by)) <= most)
+
+    def ranged(rows: DataFrame) -> DataFrame:
+        r = Ranges(rows, key, [order_by])
+        held = r.carry(r.rows, {"__n": F.count("*")}, {"__n": F.sum})
+        return held.withColumn("allowed", F.row_number().over(r.own) + F.coalesce("__n", F.lit(0)) <= most).drop("__n", PART)
+
+    return split_by_size(rows, key, lambda rows: rows.withColumn("allowed", F.row_number().over(Window.partitionBy(*key).orderBy(order_by)) <= most), ranged)
 
 
 def search(rows: DataFrame, fields: list[str], text: str, key: str, most: int) -> DataFrame:

@@ -1,6 +1,7 @@
 """Ordered-sequence operators: spines, trailing windows, clusters, as-of and interval joins.
 
-All windows are partitioned by a key; none spans a whole table. Missing hours
+All windows are partitioned by a key; none spans a whole table, and clusters,
+pairs and as-of joins go through a large key in ranges. Missing hours
 stay missing: sums skip them and completeness counts them.
 """
 
@@ -13,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from freshet.operators.hot import PART, Ranges, split_by_size
+
 
 def hour_spine(series: DataFrame, key: str, hour: str, *values: str) -> DataFrame:
     """Every hour from a key's first to its last, with the values of the hours that are there."""
@@ -29,25 +32,61 @@ def trailing_sums(series: DataFrame, key: str, hour: str, value: str, widths: Se
     return series
 
 
+def _numbered(r: Ranges, rows: DataFrame, starts: Column) -> DataFrame:
+    """``cluster``: how many rows start one up to each, counted on over the ranges."""
+    counted = r.carry(rows.withColumn("starts", F.coalesce(starts.cast("int"), F.lit(0))), {"__sum": F.sum("starts")}, {"__sum": F.sum})
+    upto = r.own.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return counted.withColumn("cluster", F.sum("starts").over(upto) + F.coalesce("__sum", F.lit(0))).drop("starts", "__sum")
+
+
 def gap_clusters(rows: DataFrame, key: str, day: str, gap: int = 45) -> DataFrame:
     """``cluster``: a new one begins where more than ``gap`` days have passed."""
-    order = Window.partitionBy(key).orderBy(day)
-    starts = F.coalesce((F.datediff(day, F.lag(day).over(order)) > gap).cast("int"), F.lit(0))
-    return rows.withColumn("starts", starts).withColumn("cluster", F.sum("starts").over(order)).drop("starts")
+
+    def plain(rows: DataFrame) -> DataFrame:
+        order = Window.partitionBy(key).orderBy(day)
+        starts = F.coalesce((F.datediff(day, F.lag(day).over(order)) > gap).cast("int"), F.lit(0))
+        return rows.withColumn("starts", starts).withColumn("cluster", F.sum("starts").over(order)).drop("starts")
+
+    def ranged(rows: DataFrame) -> DataFrame:
+        r = Ranges(rows, [key], [day])
+        before = r.carry(r.rows, {"__last": F.max(day)}, {"__last": F.max})
+        last = F.coalesce(F.lag(day).over(r.own), F.col("__last"))
+        return _numbered(r, before.withColumn("__last", last), F.datediff(day, "__last") > gap).drop("__last", PART)
+
+    return split_by_size(rows, [key], plain, ranged)
 
 
 def interval_clusters(rows: DataFrame, key: str, start: str, end: str, order_by: str, pad: int = 45) -> DataFrame:
     """``cluster``: intervals within ``pad`` days of what the cluster has spanned so far belong together."""
-    order = Window.partitionBy(key).orderBy(start, order_by)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    starts = F.coalesce((F.datediff(start, reach) > pad).cast("int"), F.lit(0))
-    return rows.withColumn("starts", starts).withColumn("cluster", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("starts")
+
+    def plain(rows: DataFrame) -> DataFrame:
+        order = Window.partitionBy(key).orderBy(start, order_by)
+        reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        starts = F.coalesce((F.datediff(start, reach) > pad).cast("int"), F.lit(0))
+        return rows.withColumn("starts", starts).withColumn("cluster", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("starts")
+
+    def ranged(rows: DataFrame) -> DataFrame:
+        r = Ranges(rows, [key], [start, order_by])
+        before = r.carry(r.rows, {"__reach": F.max(end)}, {"__reach": F.max})
+        reach = F.greatest(F.max(end).over(r.own.rowsBetween(Window.unboundedPreceding, -1)), "__reach")
+        return _numbered(r, before.withColumn("__reach", reach), F.datediff(start, "__reach") > pad).drop("__reach", PART)
+
+    return split_by_size(rows, [key], plain, ranged)
 
 
 def adjacent_pairs(rows: DataFrame, key: str, order_by: str, keep: Sequence[str]) -> DataFrame:
     """Each row with ``next_<column>`` of its key's next row; last rows have no pair and go."""
-    nxt = F.lead(F.struct(*keep)).over(Window.partitionBy(key).orderBy(order_by))
-    return rows.withColumn("nxt", nxt).where("nxt IS NOT NULL").select("*", *[F.col(f"nxt.{c}").alias(f"next_{c}") for c in keep]).drop("nxt")
+    nxt = F.struct(*keep)
+
+    def plain(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("nxt", F.lead(nxt).over(Window.partitionBy(key).orderBy(order_by)))
+
+    def ranged(rows: DataFrame) -> DataFrame:
+        r = Ranges(rows, [key], [order_by])
+        found = r.carry(r.rows, {"__next": F.min_by(nxt, F.struct(F.col(order_by).isNotNull(), order_by))}, {"__next": F.first}, after=True)
+        return found.withColumn("nxt", F.coalesce(F.lead(nxt).over(r.own), F.col("__next"))).drop("__next", PART)
+
+    return split_by_size(rows, [key], plain, ranged).where("nxt IS NOT NULL").select("*", *[F.col(f"nxt.{c}").alias(f"next_{c}") for c in keep]).drop("nxt")
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, carry: Sequence[str]) -> DataFrame:
@@ -55,8 +94,18 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, carry: Sequence[
     values = F.struct(*carry)
     both = left.select(key, at, F.struct("*").alias("row"), F.lit(None).cast(right.select(values.alias("v")).schema["v"].dataType).alias("v"), F.lit(0).alias("side"))
     both = both.unionByName(right.select(key, at, F.lit(None).cast(both.schema["row"].dataType).alias("row"), values.alias("v"), F.lit(1).alias("side")))
-    last = F.last("v", ignorenulls=True).over(Window.partitionBy(key).orderBy(at, "side").rowsBetween(Window.unboundedPreceding, -1))
-    return both.withColumn("prior", last).where("side = 0").select("row.*", *[F.col(f"prior.{c}").alias(f"prior_{c}") for c in carry])
+
+    def plain(both: DataFrame) -> DataFrame:
+        return both.withColumn("prior", F.last("v", ignorenulls=True).over(Window.partitionBy(key).orderBy(at, "side").rowsBetween(Window.unboundedPreceding, -1)))
+
+    def ranged(both: DataFrame) -> DataFrame:
+        r = Ranges(both, [key], [at, "side"])
+        latest_v = F.max_by("v", F.when(F.col("v").isNotNull(), F.struct(F.col(at).isNotNull(), at)))
+        before = r.carry(r.rows, {"__v": latest_v}, {"__v": lambda c: F.last(c, ignorenulls=True)})
+        own = F.last("v", ignorenulls=True).over(r.own.rowsBetween(Window.unboundedPreceding, -1))
+        return before.withColumn("prior", F.coalesce(own, F.col("__v"))).drop("__v", PART)
+
+    return split_by_size(both, [key], plain, ranged).where("side = 0").select("row.*", *[F.col(f"prior.{c}").alias(f"prior_{c}") for c in carry])
 
 
 def interval_cover(windows: DataFrame, covers: DataFrame, window_id: str, key: str, start: str, end: str, cover_from: str, cover_to: str) -> DataFrame:

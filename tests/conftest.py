@@ -29,3 +29,11 @@ def small():
 @pytest.fixture(scope="session")
 def sf_dir():
     return "/root/testdata/sf0.01"
+
+
+@pytest.fixture
+def many_ranges(spark):
+    """Small tables in as many ranges as there are shuffle partitions, not in one."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

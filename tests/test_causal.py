@@ -82,7 +82,7 @@ def test_inventories_of_nothing_and_of_unknown_names(spark):
     assert tuple(inventory.independence(ev.limit(0), "id", "s", "e").first()) == (0, 0, True)
 
 
-def test_rank_correlation_of_ties_and_unknown_values(spark):
+def test_rank_correlation_of_ties_and_unknown_values(spark, many_ranges):
     rng = np.random.default_rng(4)
     x, y = rng.integers(0, 20, 500).astype(float), rng.integers(0, 5, 500).astype(float)
     rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))]

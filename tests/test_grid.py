@@ -44,7 +44,7 @@ def test_smoothing_with_absent_and_null_cells(spark):
         assert got[i, j] is None if not seen else abs(got[i, j] - sum(seen) / len(seen)) < 1e-9
 
 
-def test_group_quantiles_of_hot_and_odd_groups(spark):
+def test_group_quantiles_of_hot_and_odd_groups(spark, many_ranges):
     rng = random.Random(5)
     rows = [("hot", rng.randrange(400) / 4) for _ in range(3000)] + [("one", 3.0), ("none", None), (None, 1.0), (None, 2.0), ("odd", float("inf")), ("odd", float("nan")), ("odd", 7.0)] + [(f"g{i}", float(i * k)) for i in range(30) for k in range(1, 5)]
     df = spark.createDataFrame(rows, "g string, v double")

@@ -52,7 +52,7 @@ def plain_states(rows):
     return sorted(out)
 
 
-def test_lifecycle_over_many_ranges(spark):
+def test_lifecycle_over_many_ranges(spark, many_ranges):
     rng = random.Random(1)
     kinds = [alerts.TRUE, alerts.STALE, alerts.UNAVAILABLE, alerts.ERROR, alerts.ACK]
     rows = [(1, i, i, rng.choices([*kinds, alerts.FALSE], [5, 2, 2, 2, 4, 0.2])[0]) for i in range(600)]  # one key over all ranges
