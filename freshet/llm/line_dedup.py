@@ -21,7 +21,14 @@ Defined results: a null text stays null and an empty one empty; a text whose
 lines all go becomes empty, its row stays; texts and lines of any length are
 taken whole. Rows with one id and equal text are
 judged alike, so that repeated rows don't remove each other's lines. Ties
-cannot occur otherwise. An empty table gives no rows.
+cannot occur otherwise. An empty table gives no rows. Variants meet by 64-bit
+keys and are verified word by word; were two different ones to share a key, an
+earlier line could hide behind another, so that one too many would stay, never
+one too few.
+
+Lines, halves, variants and earliest lines that hold more than a thousandth of
+their rows are joined by broadcast of those keys, so that no task meets all
+rows of one.
 """
 
 from __future__ import annotations

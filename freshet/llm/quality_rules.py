@@ -19,7 +19,9 @@ lost executor would change verdicts.
 Defined results: a null or blank text has no words and fails the base rule; a
 text of any length is counted whole; a null language or source is a group of
 its own; repeated rows each count; a rate at a threshold is kept; an empty
-table gives no rows.
+table gives no rows. Windows of three words are told apart by their 64-bit
+XXH64, so two different ones of one text are taken as equal with a chance of
+about the square of their number in 2^65.
 """
 
 from __future__ import annotations

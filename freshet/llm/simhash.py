@@ -6,7 +6,8 @@ A fingerprint links to every other at ``radius`` or fewer differing bits. The
 (pigeonhole), and a shard for each choice and value finds every link. Each
 shard's fingerprints go into BK-trees, whose children are keyed by their
 integer Hamming distance to the parent; a search follows only the edges within
-the radius. A shard beyond ``tree_rows`` is split into chunks, and every pair
+the radius. Trees are not broadcast: all shards together are as large as the
+corpus's fingerprints, so each is built in the task that its queries go to. A shard beyond ``tree_rows`` is split into chunks, and every pair
 of chunks is a cell of its own: a bounded tree is sent to each chunk of
 queries. Cells return one row per linked fingerprint (its root in the cell),
 never all pairs; components come from repeated minimum labels with pointer
