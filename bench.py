@@ -8,7 +8,7 @@ import time
 
 HEADLINE = (
     "scenario_diff", "difference_stats", "trailing_windows", "gap_clusters", "asof_prior_event", "interval_cover", "block_reduce", "idw",
-    "auroc", "average_precision", "event_macro_micro", "alert_transitions", "graph_reachability", "asset_exposure", "lookback_and_label", "event_records",
+    "auroc", "average_precision", "event_macro_micro", "alert_transitions", "graph_reachability", "asset_exposure", "lookback_and_label", "event_records", "conformal", "smooth3x3",
 )
 
 

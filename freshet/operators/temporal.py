@@ -17,10 +17,16 @@ from pyspark.sql import functions as F
 from freshet.operators.hot import PART, Ranges, split_by_size
 
 
-def hour_spine(series: DataFrame, key: str, hour: str, *values: str) -> DataFrame:
-    """Every hour from a key's first to its last, with the values of the hours that are there."""
+def hour_spine(series: DataFrame, key: str, hour: str, *values: str, most: int = 1_000_000) -> DataFrame:
+    """Every hour from a key's first to its last, with the values of the hours that are there.
+
+    A key that spans more than ``most`` hours (a century) fails: one stray date
+    would make a spine of nothing but gaps.
+    """
     ends = series.groupBy(key).agg(F.min(hour).alias("lo"), F.max(hour).alias("hi"))
-    spine = ends.select(key, F.explode(F.sequence("lo", "hi")).alias(hour))
+    too_long = F.raise_error(F.concat(F.lit("a spine of too many hours: "), (F.col("hi") - F.col("lo")).cast("string"))).cast("bigint")
+    last = F.when(F.col("hi") - F.col("lo") <= most, F.col("hi")).when(F.col("hi").isNotNull(), too_long)
+    spine = ends.select(key, F.explode(F.sequence(F.col("lo").cast("bigint"), last)).alias(hour))
     return spine.join(series.select(key, hour, *values), [key, hour], "left")
 
 

@@ -34,6 +34,40 @@ def test_window_sum_stream_is_within_batch(spark, small):
     assert out and all(want[k] == n for k, n in out.items()) and len(out) >= len(want) - 10
 
 
+def test_a_spine_of_a_stray_date_fails(spark):
+    import pytest
+
+    from freshet.operators import temporal
+
+    rows = spark.createDataFrame([("a", 5, 1.0), ("a", 8, 2.0), ("b", None, 1.0)], "k string, h long, v double")
+    assert sorted((r.h, r.v) for r in temporal.hour_spine(rows, "k", "h", "v").collect()) == [(5, 1.0), (6, None), (7, None), (8, 2.0)]
+    with pytest.raises(Exception, match="too many hours"):
+        temporal.hour_spine(rows.union(spark.createDataFrame([("a", 10**7, 1.0)], rows.schema)), "k", "h", "v").collect()
+
+
+def test_bootstrap_against_plain_weights(spark):
+    """The Poisson weights of each draw, recomputed from the hashes."""
+    import numpy as np
+
+    from freshet.operators import metrics
+
+    events = spark.range(40).select(F.col("id").alias("k"), ((F.col("id") * 7919 % 100) / 100).alias("v"))
+    hashes = {(r.draw, r.k): r.h for r in events.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(30)))).select("draw", "k", F.xxhash64("draw", "k").alias("h")).collect()}
+    steps, total, term = [], 0.0, np.exp(-1.0)
+    for n in range(1, 9):
+        total += term
+        steps.append(total)
+        term /= n
+    values = {r.k: r.v for r in events.collect()}
+    means = []
+    for draw in range(1, 31):
+        w = {k: sum(s <= (hashes[draw, k] % 2**53) / 2**53 for s in steps) for k in values}
+        means.append(sum(w[k] * values[k] for k in values) / sum(w.values()))
+    got = metrics.bootstrap(events, "k", "v", 30).first()
+    assert got.n_events == 40 and abs(got["mean"] - np.mean(list(values.values()))) < 1e-12
+    assert np.allclose((got.low, got.high), np.quantile(means, [0.025, 0.975]))
+
+
 def test_reachability_with_cycles(spark):
     edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 3), (5, 6)], "src int, dst int")
     assert sorted(map(tuple, graph.frontier(edges, 0).collect())) == [(0, 0), (1, 1), (2, 2), (3, 3)]
