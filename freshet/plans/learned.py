@@ -28,7 +28,7 @@ def _stumps_sql(rate: float = 0.08, least: int = 8) -> str:
         parts.append(f"e{k} AS MATERIALIZED (SELECT c.f, c.t, {value('c')} <= c.t AS low, sum(g) AS g, sum(h) + 1 AS h, count(*) AS n FROM g{k} p, c GROUP BY ALL)")
         parts.append(f"s{k} AS MATERIALIZED (SELECT a.f, a.t, a.g / a.h AS lft, b.g / b.h AS rgt, a.g * a.g / a.h + b.g * b.g / b.h AS gain FROM e{k} a JOIN e{k} b ON a.f = b.f AND a.t = b.t AND a.low AND NOT b.low WHERE least(a.n, b.n) >= {least} ORDER BY gain DESC, a.f, a.t LIMIT 1)")
         parts.append(f"p{k + 1} AS MATERIALIZED (SELECT p.* EXCLUDE (raw), raw + {rate} * CASE WHEN {value('s')} <= s.t THEN lft ELSE rgt END AS raw FROM p{k} p, s{k} s)")
-    found = " UNION ALL ".join(f'SELECT {k} AS round, f::INT AS feature, t::DOUBLE AS threshold, round(lft, 6) AS "left", round(rgt, 6) AS "right", round(gain, 4) AS gain FROM s{k}' for k in range(ROUNDS))
+    found = " UNION ALL ".join(f'SELECT {k} AS round, f::INT AS feature, round(t::DOUBLE, 6) AS threshold, round(lft, 6) AS "left", round(rgt, 6) AS "right", round(gain, 4) AS gain FROM s{k}' for k in range(ROUNDS))
     return f"WITH {', '.join(parts)} {found}"
 
 
@@ -41,7 +41,7 @@ def boosted_stumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = boosting.fit(rows, _FEATURES, "y", rounds=ROUNDS)
     found = [(k, s.feature, s.threshold, s.left, s.right, s.gain) for k, s in enumerate(model.stumps)]
     out = spark.createDataFrame(found, "round int, feature int, threshold double, left double, right double, gain double")
-    return out.select("round", "feature", "threshold", F.round("left", 6).alias("left"), F.round("right", 6).alias("right"), F.round("gain", 4).alias("gain"))
+    return out.select("round", "feature", F.round("threshold", 6).alias("threshold"), F.round("left", 6).alias("left"), F.round("right", 6).alias("right"), F.round("gain", 4).alias("gain"))
 
 
 SEED = 42

@@ -36,7 +36,7 @@ _SUMS = {n: "(" + " + ".join(f"precip_h{k:02}" for k in range(24 - n, 24)) + ")"
 
 @query(f"""WITH h AS (SELECT event_id, value, month(ts) AS m, {", ".join(f"({p})::DOUBLE AS precip_h{k:02}" for k, p in enumerate(_P))} FROM events)
     SELECT event_id, {", ".join(f"round(precip_h{k:02}, 6) AS precip_h{k:02}" for k in range(24))}, CASE WHEN event_id % 3 > 0 THEN round(value, 6) ELSE 0 END AS antecedent_24h, round(2 * value, 6) AS antecedent_72h, CASE WHEN event_id % 4 > 0 THEN round(value / 3, 6) ELSE 0 END AS forecast_to_h, (event_id % 4 > 0)::INT::DOUBLE AS forecast_present,
-    CASE WHEN event_id % 5 > 0 THEN 1.5 ELSE 0 END AS dem_min, CASE WHEN event_id % 5 > 0 THEN round(value / 10, 6) ELSE 0 END AS dem_mean, 0::DOUBLE AS dem_p10, (event_id % 5 > 0)::INT::DOUBLE AS dem_present, CASE WHEN event_id % 6 > 0 THEN round(ln(1 + greatest(value - 30, 0)), 6) ELSE 0 END AS q_last, (event_id % 6 > 0)::INT::DOUBLE AS q_present,
+    CASE WHEN event_id % 5 > 0 THEN 1.5::DOUBLE ELSE 0 END AS dem_min, CASE WHEN event_id % 5 > 0 THEN round(value / 10, 6) ELSE 0 END AS dem_mean, 0::DOUBLE AS dem_p10, (event_id % 5 > 0)::INT::DOUBLE AS dem_present, CASE WHEN event_id % 6 > 0 THEN round(ln(1 + greatest(value - 30, 0)), 6) ELSE 0 END AS q_last, (event_id % 6 > 0)::INT::DOUBLE AS q_present,
     round(sin(2 * {math.pi!r} * m / 12), 6) AS month_sin, round(cos(2 * {math.pi!r} * m / 12), 6) AS month_cos, 192::DOUBLE AS horizon_hours, {", ".join(f"round({c}, 6) AS precip_{n}h" for n, c in _SUMS.items() if n != 6)}, round(CASE WHEN event_id % 2 = 0 THEN value ELSE {_SUMS[6]} END, 6) AS precip_6h, round(2 * value, 6) AS precip_48h FROM h""")
 def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 42 features of samples made of the events; every seventh has 21 hours only."""
