@@ -40,9 +40,9 @@ def label_cells(cells: DataFrame, keys: Sequence[str], i: str, j: str, tile: int
     """(keys, i, j, label_i, label_j): each distinct cell with the first cell, by row then column, of its patch.
 
     Cells of a map touch at their sides; ``keys`` name the map. A cell with a
-    null index belongs to no map and is left out.
+    null index or key belongs to no map and is left out.
     """
-    own = cells.where(F.col(i).isNotNull() & F.col(j).isNotNull()).select(*keys, F.col(i).cast("long").alias("i"), F.col(j).cast("long").alias("j")).distinct()
+    own = cells.dropna(subset=[*keys, i, j]).select(*keys, F.col(i).cast("long").alias("i"), F.col(j).cast("long").alias("j")).distinct()
     own = own.withColumns({"ti": F.floor(F.col("i") / tile), "tj": F.floor(F.col("j") / tile)})
 
     def label(rows: pd.DataFrame) -> pd.DataFrame:

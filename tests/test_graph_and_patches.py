@@ -66,7 +66,7 @@ def test_patches_over_many_tiles(spark):
     rng = random.Random(4)
     cells = [("snake", i, j) for i, j in snake(31)] + [("noise", rng.randrange(-20, 20), rng.randrange(-20, 20)) for _ in range(900)]
     cells += [("full", i, j) for i in range(12) for j in range(12)] + [("one", 5, -5), ("corners", 0, 0), ("corners", 1, 1)]
-    df = spark.createDataFrame([*cells, cells[0], ("none", None, 3)], "map string, i int, j int")
+    df = spark.createDataFrame([*cells, cells[0], ("none", None, 3), (None, 3, 3), (None, 4, 3)], "map string, i int, j int")
     for tile in (4, 64):
         got = {(r.map, r.i, r.j): (r.label_i, r.label_j) for r in patches.label_cells(df, ["map"], "i", "j", tile).collect()}
         assert got == plain_patches(cells)
