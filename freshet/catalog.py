@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freshet.plans import assembled, causal, exposure, grids, learned, lifecycle, ordered, platform, ranked, registry, resampled, sampled, samples, scores, spatial, streams, validated  # noqa: F401  each registers its queries
+from freshet.plans import assembled, causal, exposure, grids, learned, lifecycle, ordered, platform, ranked, registry, resampled, sampled, samples, scores, spatial, stored, streams, validated  # noqa: F401  each registers its queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
