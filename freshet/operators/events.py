@@ -40,11 +40,16 @@ def missingness(pairs: DataFrame, key: str, event: str, eligibility: str, covera
 
 
 def pearson(rows: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 5) -> DataFrame:
-    """Per group the correlation of the rows whose two values are known and finite; null below ``least`` such rows or where one does not vary."""
+    """Per group the correlation of the rows whose two values are known and finite; null below ``least`` such rows or where one does not vary.
+
+    Spark's ``corr`` fails by a division by zero where a value does not vary, so the covariance is divided here, only where both vary.
+    """
     both = finite(x) & finite(y)
     a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
-    found = rows.groupBy(*keys).agg(F.count(a).alias("n"), F.stddev_pop(a).alias("sa"), F.stddev_pop(b).alias("sb"), F.corr(a, b).alias("r"))
-    return found.select(*keys, "n", F.when((F.col("n") >= least) & (F.col("sa") > 0) & (F.col("sb") > 0), F.round("r", 6)).alias("pearson"))
+    spread = {"sa": F.stddev_pop(a), "sb": F.stddev_pop(b), "cov": F.covar_pop(a, b), "va": F.min(a) < F.max(a), "vb": F.min(b) < F.max(b)}  # merged deviations of equal values may be just above 0
+    found = rows.groupBy(*keys).agg(F.count(a).alias("n"), *[c.alias(k) for k, c in spread.items()])
+    r = F.try_divide(F.try_divide(F.col("cov"), F.col("sa")), F.col("sb"))
+    return found.select(*keys, "n", F.when((F.col("n") >= least) & F.col("va") & F.col("vb") & (F.col("sa") > 0) & (F.col("sb") > 0), F.round(r, 6)).alias("pearson"))
 
 
 def hard_cases(pixels: DataFrame, keys: Sequence[str], y: str, rain: str) -> DataFrame:

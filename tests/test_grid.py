@@ -70,6 +70,15 @@ def test_reversed_intervals_minutes_and_infinities(spark):
     assert got == {"g": (6, 0.959883), "h": (1, None)}
 
 
+def test_pearson_where_a_value_does_not_vary(spark):
+    """Groups of equal values, over several partitions, have no correlation; they once failed by a division by zero."""
+    rows = [("x", 0.1, float(i)) for i in range(9)] + [("y", float(i), 0.1) for i in range(9)] + [("both", 7.0, 7.0)] * 9 + [("line", float(i), -2.0 * i) for i in range(9)] + [("few", float(i), float(i)) for i in range(4)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    for parts in (1, 7):
+        got = {r.k: (r.n, r.pearson) for r in events.pearson(df.repartition(parts), ["k"], "x", "y").collect()}
+        assert got == {"x": (9, None), "y": (9, None), "both": (9, None), "line": (9, -1.0), "few": (4, None)}
+
+
 def test_cell_centres_continue_the_last_slope(spark):
     cells = spark.createDataFrame([(i, j, 10.0 * i + j) for i in range(4) for j in range(3)], "i int, j int, v double")
     got = {(r.i, r.j): r.v for r in resample.bilinear(cells, "v", (4, 3), (5, 2), centres=True, reach=(1.2, 1.0)).collect()}
