@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def window_sums(stream: DataFrame, at: str, keys: list[str], value: str, width: str = "6 hours", late: str = "1 hour") -> DataFrame:
-    """Sums by key and tumbling window; rows later than ``late`` behind the watermark are left out, repeats of a row within it count once."""
+def window_sums(stream: DataFrame, at: str, keys: list[str], value: str, width: str = "6 hours", late: str = "1 hour", starts: str = "0 seconds") -> DataFrame:
+    """Sums by key and tumbling window; rows later than ``late`` behind the watermark are left out, repeats of a row within it count once. ``starts`` moves all window edges."""
     rows = stream.withColumn("__at", F.col(at).cast("timestamp")).withWatermark("__at", late)
-    return rows.groupBy(*keys, F.window("__at", width).alias("w")).agg(F.round(F.sum(value), 6).alias("total"), F.count("*").alias("n")).select(*keys, F.col("w.start").alias("start"), "total", "n")
+    return rows.groupBy(*keys, F.window("__at", width, width, starts).alias("w")).agg(F.round(F.sum(value), 6).alias("total"), F.count("*").alias("n")).select(*keys, F.col("w.start").alias("start"), "total", "n")
 
 
 def alert_states(stream: DataFrame, key: str, at: str, value: str, threshold: float) -> DataFrame:

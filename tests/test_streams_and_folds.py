@@ -34,6 +34,29 @@ def test_window_sum_stream_is_within_batch(spark, small):
     assert out and all(want[k] == n for k, n in out.items()) and len(out) >= len(want) - 10
 
 
+def test_window_sums_round_times_as_their_sql(spark):
+    """Readings less than, at and more than half a second before an edge, and a last reading just before, at and after the one that closes a window."""
+    import datetime as dt
+
+    import duckdb
+
+    from freshet.plans import streams
+    from freshet.plans.registry import SQL
+
+    edge = dt.datetime(2024, 1, 1, 6)
+    at = lambda ms: edge + dt.timedelta(milliseconds=ms)
+    for last in (3_599_400, 3_599_500, 3_599_999, 3_600_000, 3_600_001, 40_000_000):
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        rows = [(i, at(ms), "click", 2.0**i) for i, ms in enumerate((-9000, -501, -500, -499, -1, 0, 1, 499, 500, 21_599_499, 21_599_500, 21_599_501))] + [(99, at(last), "view", 1.0)]
+        rows = [r for r in rows if r[1] <= at(last)]
+        con = duckdb.connect()
+        con.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, event_type VARCHAR, value DOUBLE)")
+        con.executemany("INSERT INTO events VALUES (?, ?, ?, ?)", rows)
+        con.execute(f"COPY events TO '{folder}/events.parquet' (FORMAT parquet)")
+        got = sorted(tuple(r) for r in streams.streamed_window_sums(spark, folder).collect())
+        assert got == sorted(con.execute(SQL["streamed_window_sums"]).fetchall()), last
+
+
 def test_a_spine_of_a_stray_date_fails(spark):
     import pytest
 
