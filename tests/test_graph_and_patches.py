@@ -98,6 +98,22 @@ def test_boxes_against_all_pairs(spark, monkeypatch):
     assert boxes.contained(points, own.limit(0), "p", "b").count() == 0 == boxes.contained(points.limit(0), own, "p", "b").count()
 
 
+def test_boxes_of_repeated_ids(spark, monkeypatch):
+    """Features of several vertices and boxes of several rows, null ids too, give each pair once; ids that stand once go through no distinct."""
+    rng = random.Random(7)
+    pts = [(rng.choice([None, *range(60)]), rng.uniform(0, 40), rng.uniform(0, 40)) for _ in range(200)]
+    bxs = [(rng.choice([None, *range(30)]), x, y, x + rng.choice([1, 9, 25]), y + rng.choice([0.5, 3, 30])) for _ in range(60) for x, y in [(rng.uniform(0, 40), rng.uniform(0, 40))]]
+    want = {(p, b) for p, x, y in pts for b, w, s, e, n in bxs if w <= x <= e and s <= y <= n}
+    points, own = spark.createDataFrame(pts, "p long, x double, y double"), spark.createDataFrame(bxs, "b long, west double, south double, east double, north double")
+    for most in (100_000, 0):
+        monkeypatch.setattr(boxes, "BROADCAST_CELLS", most)
+        got = [tuple(r) for r in boxes.contained(points, own, "p", "b").collect()]
+        assert len(got) == len(want) and set(got) == want
+        single = boxes.contained(points.dropDuplicates(["p"]), own.dropDuplicates(["b"]), "p", "b")
+        plan = single._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan[: plan.index("Join")]
+
+
 def test_projection_round_trip_and_windows(spark):
     plane, tile = projection.Plane(), projection.TILES["E039N021T3"]
     rng = random.Random(8)
