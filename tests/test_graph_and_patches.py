@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from freshet.operators import boxes, graph, patches, projection
+from freshet.operators import boxes, exposure, graph, patches, projection
 
 
 def plain_components(pairs):
@@ -114,6 +114,23 @@ def test_boxes_of_repeated_ids(spark, monkeypatch):
         assert "Aggregate" not in plan[: plan.index("Join")]
 
 
+def test_neighbours_in_cells_and_of_several_ends(spark, monkeypatch):
+    """Repeated and null rows, hot nodes, segments of several ends; segments of one row each go through no distinct."""
+    rng = random.Random(9)
+    pick = lambda n: rng.choice([None, 0, 0, *range(n)])
+    simple = [(i, pick(9), pick(9)) for i in range(150)]
+    for rows in (simple, simple + [(pick(40), pick(9), pick(9)) for _ in range(80)]):
+        want = {(s, t) for s, _, z in rows for t, a, _ in rows if None not in (s, t, z) and z == a and s != t}
+        df = spark.createDataFrame(rows, "k long, a int, z int")
+        for most in (2048, 7):
+            monkeypatch.setattr(exposure, "CELL_ROWS", most)
+            found = exposure.neighbours(df, "k", "a", "z")
+            got = [tuple(r) for r in found.collect()]
+            assert len(got) == len(want) and set(got) == want
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert rows is not simple or "Aggregate" not in plan[: plan.index("Join")]
+
+
 def test_projection_round_trip_and_windows(spark):
     plane, tile = projection.Plane(), projection.TILES["E039N021T3"]
     rng = random.Random(8)
