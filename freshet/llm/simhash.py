@@ -44,11 +44,7 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     starts, last = [0, *ends], min(width, len(found))
     one = xxhash.xxh64_intdigest
     h = np.array([one(joined[a : z - 1], 42) for a, z in zip(starts, ends[last - 1 :], strict=False)], dtype="<u8")
-    on = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(h), 65536):
-        part = h[i : i + 65536]
-        on += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * on > len(h), bitorder="little").view("<i8")[0])
+    return shingles.majority(h)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
@@ -216,19 +212,30 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def near_pairs(marked: DataFrame, radius: int = 4) -> DataFrame:
+    """(a, b), a < b, of the keys of ``marked`` (key, fp): each fingerprint's keys with its least one, and the least ones of the fingerprints that ``links`` joins."""
+    heads = scratch(marked.groupBy("fp").agg(F.min("key").alias("head")), "fingerprints")
+    same = join_hot(marked, heads, "fp", hot_keys(marked, "fp")).where("key != head").select(F.col("head").alias("a"), F.col("key").alias("b"))
+    side = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}"))
+    near = scratch(links(heads.select("fp"), radius, n=heads.count()), "near")
+    roots = near.groupBy("b").agg(F.count("*").alias("c"))
+    far = join_hot(near.join(side("a"), "a"), side("b"), "b", hottest(scratch(roots, "roots"), "b"))
+    return same.union(far.select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b")))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """``docs`` with one row of each group: the first by id, then key, of its component (rows without an id each stay; of rows with one id and key, the first by a hash).
 
-    Here links are verified: texts equal but for case and spacing, or with a
-    similarity of 4/5 or more (see shingles). A radius of fingerprints would
-    lose most of the edited copies and join some unlike texts.
+    Links of the SimHash fingerprints come first, through the BK-trees in shards, and each is verified: texts equal but
+    for case and spacing, or with a similarity of 4/5 or more, are one (see shingles). The radius alone would lose most
+    of the edited copies, so the exact prefix filter finds what it leaves.
     """
     packed = docs.select(F.col(id_col).alias("__id"), shingles.text_key(F.col(text_col)).alias("__key"), F.col(text_col).alias("__text"), F.struct("*").alias("__row"))
     texts = packed.where(F.col("__id").isNotNull()).select(F.col("__id").alias("id"), F.col("__key").alias("key"), F.col("__text").alias("text"))
     firsts = scratch(texts.groupBy("key").agg(F.min("id").alias("first")), "distinct")
     # One row a key is enough; more do no harm.
     some = only_near(texts, F.xxhash64("id", "key"), firsts, F.xxhash64("first", "key"))
-    labels = components(scratch(shingles.edges(some, components, width), "links"))
+    labels = components(scratch(shingles.edges(some, components, width, first=near_pairs), "links"))
     groups = firsts.join(labels, firsts["key"] == labels["node"], "left").select("first", "key", F.coalesce("label", "key").alias("label"))
     heads = scratch(groups.groupBy("label").agg(F.min(F.struct("first", "key")).alias("head")).select(F.col("head.first").alias("__id"), F.col("head.key").alias("__key")), "heads")
     kept = packed.select("__id", "__key", "__row").join(heads, ["__id", "__key"]).groupBy("__id", "__key").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row")).select("__row.*")

@@ -147,3 +147,37 @@ def test_edited_copies_against_all_pairs(spark, sf_dir):
     assert sum(r["count"] - 1 for r in cut) == keyed.select("key").distinct().count() - len(mine)
     given = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     assert {r.doc_id for r in simhash.keep_one(given).collect()} == plain_kept([(r.doc_id, r.text) for r in given.collect()])
+
+
+def test_simhash_links_come_first(spark, monkeypatch):
+    """keep_one's candidates begin with the fingerprints' own links: equal ones by their least key, others by the BK-trees."""
+    fps = {b"a": 0, b"b": 0, b"c": 15, b"d": 31 << 20, b"e": -1, b"f": -2, b"g": 0}
+    marked = spark.createDataFrame([(bytearray(k), v) for k, v in fps.items()], "key binary, fp long")
+    got = {(bytes(r.a), bytes(r.b)) for r in simhash.near_pairs(marked).collect()}
+    assert got == {(b"a", b"b"), (b"a", b"g"), (b"a", b"c"), (b"e", b"f")}
+    asked = []
+    monkeypatch.setattr(simhash, "near_pairs", lambda m: asked.append(m.count()) or m.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0))
+    simhash.keep_one(spark.createDataFrame([(1, "one two three"), (2, "four five six")], "doc_id long, text string"))
+    assert asked == [2]
+
+
+def test_bitmaps_lose_no_pair():
+    """Every pair of a similarity of 4/5 passes the bitmaps, few others do."""
+    import numpy as np
+
+    rng = random.Random(3)
+    draw = lambda: rng.getrandbits(64) - (1 << 63)
+    sets = []
+    for size in [1, 3, 8, 15, 16, 17, 40, 130, 500, 2000] * 3:
+        base = [draw() for _ in range(size)]
+        for _ in range(6):
+            s = set(base)
+            for _ in range(rng.randint(0, max(1, size // 6))):
+                s.add(draw()) if rng.random() < 0.5 or len(s) < 2 else s.remove(rng.choice(sorted(s)))
+            sets.append(np.array(sorted(s), dtype="<i8"))
+    keys, n, labels = [bytes([i]) for i in range(len(sets))], [len(s) for s in sets], [bytes([i % 50]) for i in range(len(sets))]
+    for sides in ([0] * len(sets), [1 + i % 2 for i in range(len(sets))]):
+        got = shingles.open_pairs(keys, n, labels, sides, [shingles.parity_bits(s) for s in sets])
+        ok = lambda i, j: labels[i] != labels[j] and (not sides[i] or sides[i] != sides[j]) and 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (n[i] + n[j])  # noqa: B023, E731
+        want = {(keys[j], keys[i]) for i in range(len(sets)) for j in range(i) if ok(i, j)}
+        assert want <= got and len(got) < 1.1 * len(want)
