@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import BLANKS, FILTER_ROWS, hottest, join_hot, only_near, scratch
+from freshet.llm.common import BLANKS, FILTER_ROWS, bit_filter, bits_of, held_in, hottest, join_hot, only_near, scratch
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -99,11 +99,11 @@ def shingled(texts: DataFrame, width: int, choose: Callable[[np.ndarray], np.nda
 
 
 def common_hashes(prefixes: DataFrame, least: int = 3, most: int = FILTER_ROWS) -> np.ndarray:
-    """The hashes that stand in ``least`` prefixes or more, sorted; the least is doubled until at most ``most`` are left."""
+    """The bits (see ``held_in``) of the hashes that stand in ``least`` prefixes or more; the least is doubled until at most ``most`` are left."""
     counts = scratch(prefixes.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= least), "common")
-    while counts.where(F.col("c") >= least).count() > most:
+    while (n := counts.where(F.col("c") >= least).count()) > most:
         least *= 2
-    return np.sort(counts.where(F.col("c") >= least).select("h").toArrow()["h"].to_numpy())
+    return bits_of(bit_filter(counts.where(F.col("c") >= least), F.col("h"), n)[0])
 
 
 def prefixes(texts: DataFrame, width: int) -> DataFrame:
@@ -111,10 +111,8 @@ def prefixes(texts: DataFrame, width: int) -> DataFrame:
     common = common_hashes(shingled(texts, width, lambda s: s[: len(s) // 5 + 1]))
 
     def rarest(s: np.ndarray) -> np.ndarray:
-        if len(common):
-            often = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-            s = np.concatenate([s[~often], s[often]])
-        return s[: len(s) // 5 + 1]
+        often = held_in(common, s)
+        return np.concatenate([s[~often], s[often]])[: len(s) // 5 + 1]
 
     return shingled(texts, width, rarest, marked=True)
 

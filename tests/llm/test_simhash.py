@@ -181,3 +181,31 @@ def test_bitmaps_lose_no_pair():
         ok = lambda i, j: labels[i] != labels[j] and (not sides[i] or sides[i] != sides[j]) and 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (n[i] + n[j])  # noqa: B023, E731
         want = {(keys[j], keys[i]) for i in range(len(sets)) for j in range(i) if ok(i, j)}
         assert want <= got and len(got) < 1.1 * len(want)
+
+
+def test_filters_hold_bits_not_rows(spark, monkeypatch):
+    """What a filter broadcasts and what marks the common shingles is a few bits a key: nothing is lost, little else passes."""
+    import numpy as np
+
+    from freshet.llm import common
+
+    sent, real = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda t: sent.append(t.count()) or real(t))
+    n = 200_000
+    wanted = common.scratch(spark.range(n).select(F.xxhash64("id").alias("w")), "wanted")
+    rows = spark.range(2 * n).select("id", F.xxhash64("id").alias("k")).union(spark.sql("SELECT -1L, CAST(NULL AS LONG)"))
+    near = {r.id for r in common.only_near(rows, F.col("k"), wanted, F.col("w")).select("id").collect()}
+    assert set(range(n)) <= near and -1 not in near and len(near) < 1.03 * n
+    few = common.scratch(spark.range(n).select("id", F.lit(7).alias("v")), "few")
+    joined = common.join_few(spark.range(2 * n), few, "id").groupBy("v").agg(F.count("*").alias("c"), F.min("id").alias("least")).collect()
+    assert sorted((r.v or 0, r.c, r.least) for r in joined) == [(0, n, n), (7, n, 0)]
+    assert sent and max(sent) <= 32 * n // common.ROW_BITS
+    bits, size = common.bit_filter(wanted, F.col("w"), n)
+    words = common.bits_of(bits)
+    assert len(words) == size * common.ROW_BITS // 64 and words.nbytes <= 4 * n
+    keys = rows.where("k IS NOT NULL").orderBy("id").toArrow()
+    assert set(keys["id"].to_numpy()[common.held_in(words, keys["k"].to_numpy())].tolist()) == near
+    none = common.scratch(wanted.limit(0), "none")
+    assert common.only_near(rows, F.col("k"), none, F.col("w")).isEmpty()
+    listed = spark.createDataFrame([([1, 2, 3],), ([2, 3, 4],), ([3, 2, 5],)], "hashes array<long>")
+    assert common.held_in(shingles.common_hashes(listed), np.array([1, 2, 3, 4, 5])).tolist() == [False, True, True, False, False]
