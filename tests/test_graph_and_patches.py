@@ -131,6 +131,19 @@ def test_neighbours_in_cells_and_of_several_ends(spark, monkeypatch):
         assert rows is not simple or "Aggregate" not in plan[: plan.index("Join")]
 
 
+def test_neighbours_move_arrays_not_a_row_for_each_cell(spark, monkeypatch):
+    """A node of many cells: each side crosses the shuffle as an array for each cell, and its pairs are made after."""
+    df = spark.range(300).select(F.col("id").alias("k"), F.lit(0).alias("a"), (F.col("id") % 2).cast("int").alias("z"))
+    monkeypatch.setattr(exposure, "CELL_ROWS", 10, raising=False)
+    monkeypatch.setattr(exposure, "BLOCK_ROWS", 4, raising=False)
+    found = exposure.neighbours(df, "k", "a", "z")
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == 150 * 299 and set(got) == {(s, t) for s in range(0, 300, 2) for t in range(300) if s != t}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join") :]
+    assert "held" in below and "segment" not in below and below.count("RepartitionByExpression") == 2
+
+
 def test_projection_round_trip_and_windows(spark):
     plane, tile = projection.Plane(), projection.TILES["E039N021T3"]
     rng = random.Random(8)
